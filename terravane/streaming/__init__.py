@@ -1,0 +1 @@
+"""Terravane streaming."""
