@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terravane.llm import byte_bpe, line_dedup, masked_lm, packing, quality_ranker, quality_rules, toxicity
+from terravane.llm import byte_bpe, embedding_dedup, line_dedup, masked_lm, minhash, packing, pii, quality_ranker, quality_rules, toxicity
 
-_MODULES = [toxicity, masked_lm, quality_ranker, byte_bpe, line_dedup, packing, quality_rules]
+_MODULES = [pii, minhash, byte_bpe, embedding_dedup, packing, quality_rules, toxicity, line_dedup, masked_lm, quality_ranker]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
