@@ -8,8 +8,8 @@ Documents with equal shingle sets become one class (128-bit digest of the sorted
 a band are confirmed on their full sets in three rounds: every class with the smallest class it shares a
 band with; then with the smallest class of each other band of it, where the two are still apart; then, in
 bands that still hold classes of different components, all of those, compared in blocks of at most BLOCK
-classes by signature and, from an estimate of 0.6 on (six standard deviations under the threshold),
-confirmed exactly. So no link between different texts of a band is lost, and no round makes all pairs of
+classes by signature and, from an estimate of 0.6 on (six standard deviations under the threshold), by
+their sets as 32-bit hashes; only pairs that are similar by these leave a block, to be confirmed exactly. So no link between different texts of a band is lost, and no round makes all pairs of
 a group: copies and near copies merge around the smallest id first. The full sets travel once for each
 confirmed pair and once for each 64 partners of a hub.
 
@@ -39,6 +39,8 @@ PERMUTATIONS, BANDS, ROWS = 70, 28, 5
 THRESHOLD = 80
 BLOCK = 256
 CHUNK = 64
+#: Ids (8 bytes each) that are sent to all tasks rather than shuffling the texts, at most.
+BROADCAST = 2_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -121,10 +123,17 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
 
-    rows = texts.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    few = wanted.select(F.col("id").alias("doc_id"))
+    rows = texts.join(F.broadcast(few) if wanted.count() <= BROADCAST else few, "doc_id", "left_semi")
     return map_batches(rows, run, "id long, hashes binary").dropDuplicates(["id"])
 
 
+def _shortened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, hashes) with the low 32 bits of the hashes."""
+    short = [(np.frombuffer(h, np.uint64) & np.uint64(0xFFFFFFFF)).astype("<u4") for h in batch.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(x).tobytes() for x in short], pa.binary())], ["id", "short"])
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. Partners of a hub a are dealt in chunks, each after one copy of the hub's set."""
     ship(pairs.sparkSession)
@@ -150,41 +159,58 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _block_pairs(members: DataFrame, estimate: float) -> DataFrame:
-    """Pairs of classes of different components that share a band and look similar by signature. members: (key, id, component, sig, n). A band of m classes is cut into ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own."""
+def _plausible(rows: list[tuple], same_block: bool, estimate: float, threshold: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a block group that are similar by 32-bit hash sets (with half a percent of slack for collisions). rows: (block, id, component, n, sig, short)."""
+    if len(rows) < 2:
+        return
+    block = np.array([r[0] for r in rows])
+    ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    sig = np.stack([np.frombuffer(r[4], "<u2") for r in rows])
+    maybe = np.zeros((len(rows), len(rows)), bool)
+    for x in range(len(rows)):
+        near = (comp != comp[x]) & (ids > ids[x]) & (100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])) & ((block != block[x]) | same_block)
+        at = np.flatnonzero(near)
+        maybe[x, at] = (sig[at] == sig[x]).mean(1) >= estimate
+    at = np.flatnonzero(maybe.any(0) | maybe.any(1))
+    if not len(at):
+        return
+    sets = [np.frombuffer(rows[x][5], "<u4") for x in at]
+    size = np.array([len(v) for v in sets])
+    owner = np.repeat(np.arange(len(at)), size)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.zeros((len(at), len(at)), np.float32)
+    for k in range(0, len(values), 16384):
+        part = (code >= k) & (code < k + 16384)
+        grid = np.zeros((len(at), min(16384, len(values) - k)), np.float32)
+        grid[owner[part], code[part] - k] = 1
+        common += grid @ grid.T
+    close = (100 * common >= (threshold - 0.5) * (size[:, None] + size[None, :] - common)) & maybe[np.ix_(at, at)]
+    for x, y in zip(*np.nonzero(close), strict=True):
+        yield int(ids[at[x]]), int(ids[at[y]])
+
+
+def _block_pairs(members: DataFrame, estimate: float, threshold: int) -> DataFrame:
+    """Pairs of classes of different components that share a band and are similar by short hashes. members: (key, id, component, n, sig, short). A band of m classes is cut into ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own; only similar pairs leave it."""
     ship(members.sparkSession)
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     own = sized.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component", "n", "sig")
-
-    def pairs(rows: list[tuple], i: int, j: int) -> Iterator[tuple[int, int]]:
-        if len(rows) < 2:
-            return
-        block = np.array([r[0] for r in rows])
-        ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        sig = np.stack([np.frombuffer(r[4], "<u2") for r in rows])
-        for x in range(len(rows)):
-            near = (comp != comp[x]) & (ids > ids[x]) & (100 * np.minimum(n, n[x]) >= THRESHOLD * np.maximum(n, n[x])) & ((block != block[x]) | (i == j))
-            at = np.flatnonzero(near)
-            if len(at):
-                for y in at[(sig[at] == sig[x]).mean(1) >= estimate]:
-                    yield int(ids[x]), int(ids[y])
+    dealt = own.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component", "n", "sig", "short")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, out = None, [], []
         for batch in batches:
-            for key, i, j, *rest in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            for key, i, j, *rest in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if (key, i, j) != group:
                     if group:
-                        out += pairs(rows, *group[1:])
+                        out += _plausible(rows, group[1] == group[2], estimate, threshold)
                     group, rows = (key, i, j), []
                 rows.append(rest)
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
         if group:
-            out += pairs(rows, *group[1:])
+            out += _plausible(rows, group[1] == group[2], estimate, threshold)
         yield _edges(out)
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
@@ -203,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
     keyed = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1").select("key", "hub")
     members = materialize(keyed.join(shared, "key"))
-    sets = materialize(_sets(texts, members.select("id").distinct(), width))
+    sets = materialize(_sets(texts, materialize(members.select("id").distinct()), width))
 
     def merged(found: DataFrame, old: DataFrame | None) -> DataFrame:
         """Components after the confirmed links are added."""
@@ -223,7 +249,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     left = materialize(now.join(mixed, "key"))
     if not left.isEmpty():
-        pairs = materialize(_block_pairs(left.join(classes.select("id", "sig"), "id").select("key", "id", "component", "sig", "n"), 0.6))
+        short = map_batches(sets.join(left.select("id").distinct(), "id"), _shortened, "id long, short binary")
+        pairs = materialize(_block_pairs(left.join(classes.select("id", "sig"), "id").join(short, "id").select("key", "id", "component", "n", "sig", "short"), 0.6, threshold))
         if not pairs.isEmpty():
             comp = merged(_confirm(pairs, sets, threshold), comp)
     by_class = labelled(classes.select("digest", "id"), comp, "id", "component").select("digest", F.col("component").alias("component_id"))
