@@ -234,8 +234,10 @@ def slope_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prism_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = materialize(_split(spark, sf_dir).groupBy("x", "y").agg(F.avg("z").alias("z"), F.min("point_id").alias("point_id"), F.first("interior").alias("interior"), F.first("rim").alias("rim")))
-    return SF.prism_volume(split.where("interior"), split.where("rim"), (0.0, 0.0, 1.0), tile=12.0)
+    """Over the voxels of the whole cloud, as dense clouds are fused before they are measured: the triangulated points grow with the region, not with the rows."""
+    cloud = R.voxels(spark, sf_dir).withColumns({"u": F.col("x"), "v": F.col("y")})
+    split = materialize(RG.ortho_split(cloud, POLY, R.RIM_INNER, R.RIM_OUTER).drop("u", "v"))
+    return SF.prism_volume(split.where("interior"), split.where("rim"), (0.0, 0.0, 1.0))
 
 
 # ---- neighbours ------------------------------------------------------------------------------------
