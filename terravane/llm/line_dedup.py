@@ -131,7 +131,8 @@ def suspects(texts: DataFrame) -> DataFrame:
 def drop_lists(texts: DataFrame) -> DataFrame:
     """(doc_id, keys): the line digests that a document loses."""
     found = materialize(suspects(texts.where("doc_id IS NOT NULL")))
-    first = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # Written out: a join of two plain scans is one whose hot keys adaptive execution can split.
+    first = materialize(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     return found.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
