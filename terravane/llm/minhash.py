@@ -7,10 +7,12 @@ at the threshold of 0.8 is missed with probability (1 - 0.8^5)^28 < 2e-5, and le
 Documents with equal shingle sets become one class (128-bit digest of the sorted set). Classes that share
 a band are confirmed on their full sets in three rounds: every class with the smallest class it shares a
 band with; then with the smallest class of each other band of it, where the two are still apart; then, in
-bands that still hold classes of different components, all of those, compared in blocks of at most BLOCK
-classes by signature and, from an estimate of 0.6 on (six standard deviations under the threshold), by
-their sets as 32-bit hashes; only pairs that are similar by these leave a block, to be confirmed exactly. So no link between different texts of a band is lost, and no round makes all pairs of
-a group: copies and near copies merge around the smallest id first. The full sets travel once for each
+bands that still hold classes of different components, all classes of different components: those outside
+the band's largest component, in blocks of about BLOCK, with each other and with the classes of the largest,
+which stream past them. They are compared by signature and, from an estimate of 0.6 on (six standard
+deviations under the threshold), by their sets as 32-bit hashes; only pairs that are similar by these leave a
+block, to be confirmed exactly. So no link between different texts of a band is lost, and no round makes all
+pairs of a group: copies and near copies merge around the smallest id first. The full sets travel once for each
 confirmed pair and once for each 64 partners of a hub.
 
 Shingles are 64-bit hashes of word sequences (XXH3); two sets are equal or similar as their hash sets are.
@@ -38,6 +40,7 @@ from terravane.session import materialize, ship
 PERMUTATIONS, BANDS, ROWS = 70, 28, 5
 THRESHOLD = 80
 BLOCK = 256
+LEAD = 4096
 CHUNK = 64
 #: Ids (8 bytes each) that are sent to all tasks rather than shuffling the texts, at most.
 BROADCAST = 2_000_000
@@ -190,30 +193,49 @@ def _plausible(rows: list[tuple], same_block: bool, estimate: float, threshold:
 
 
 def _block_pairs(members: DataFrame, estimate: float, threshold: int) -> DataFrame:
-    """Pairs of classes of different components that share a band and are similar by short hashes. members: (key, id, component, n, sig, short). A band of m classes is cut into ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own; only similar pairs leave it."""
+    """Pairs of classes of different components that share a band and are similar by short hashes. members: (key, id, component, n, sig, short).
+
+    In a band, the largest component leads; its classes need no comparison with each other. The rest is cut into blocks of about
+    BLOCK classes: every pair of blocks is a group of its own, and every block meets the leaders, LEAD of them a group, that stream
+    past it. A leader is copied once a block of the rest, and one of the rest once for LEAD leaders and once for each block of the
+    rest. Only similar pairs leave a group."""
     ship(members.sparkSession)
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = sized.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component", "n", "sig", "short")
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    bands = counts.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("x"))
+    sized = materialize(bands.select("key", F.col("x.component").alias("lead"), F.ceil((F.col("m") - F.col("x.c")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("x.c") / LEAD).cast("int").alias("chunks")))
+    leads = F.col("component") == F.col("lead")
+    own = members.join(sized.where("blocks > 0"), "key").withColumn("leads", leads).withColumn("own", F.pmod(F.xxhash64("id", "key"), F.when(F.col("leads"), F.col("chunks")).otherwise(F.col("blocks"))).cast("int"))
+    # Group (i, j): blocks i <= j of the rest, or, where i is negative, block j of the rest and the leaders of chunk -1 - i.
+    dealt = own.withColumn("o", F.explode(F.sequence(F.when(F.col("leads"), 0).otherwise(-F.col("chunks")), F.col("blocks") - 1)))
+    i = F.when(F.col("leads"), -1 - F.col("own")).otherwise(F.least("own", "o"))
+    j = F.when(F.col("leads"), F.col("o")).otherwise(F.greatest("own", "o"))
+    dealt = dealt.select("key", i.alias("i"), j.alias("j"), F.when(F.col("leads"), -1).otherwise(F.col("own")).alias("block"), "id", "component", "n", "sig", "short")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, out = None, [], []
+        group, rows, passing, out = None, [], [], []
         for batch in batches:
             for key, i, j, *rest in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if (key, i, j) != group:
-                    if group:
-                        out += _plausible(rows, group[1] == group[2], estimate, threshold)
-                    group, rows = (key, i, j), []
-                rows.append(rest)
+                    out += _group_pairs(group, rows, passing, estimate, threshold)
+                    group, rows, passing = (key, i, j), [], []
+                (passing if rest[0] < 0 else rows).append(rest)
+                if len(passing) == BLOCK:
+                    out += _group_pairs(group, rows, passing, estimate, threshold)
+                    passing = []
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
-        if group:
-            out += _plausible(rows, group[1] == group[2], estimate, threshold)
+        out += _group_pairs(group, rows, passing, estimate, threshold)
         yield _edges(out)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    # Blocks of the rest come before the leaders (block -1) of their group.
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.col("block").desc()).mapInArrow(run, "a long, b long").distinct()
+
+
+def _group_pairs(group: tuple | None, rows: list[tuple], passing: list[tuple], estimate: float, threshold: int) -> Iterator[tuple[int, int]]:
+    """Pairs of two blocks of the rest, or of a block and the leaders that pass it."""
+    if group is not None and (group[1] >= 0 or passing):
+        yield from _plausible(rows + passing, group[1] == group[2], estimate, threshold)
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -227,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
     usable = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = materialize(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), "x.sig", "x.bands"))
     keyed = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1").select("key", "hub")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1").select("key", "hub"))
     members = materialize(keyed.join(shared, "key"))
     sets = materialize(_sets(texts, materialize(members.select("id").distinct()), width))
 
@@ -246,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
     if not apart.isEmpty():
         comp = merged(_confirm(apart, sets, threshold), comp)
     now = labelled(members.select("key", "id", "n"), comp, "id", "component")
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = materialize(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
     left = materialize(now.join(mixed, "key"))
     if not left.isEmpty():
         short = map_batches(sets.join(left.select("id").distinct(), "id"), _shortened, "id long, short binary")

@@ -164,3 +164,25 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
     first = {r["doc_id"] for r in rows_of(spark, quality_rules, SF) if r["kept"]}
     assert kept and kept <= first
+
+
+def test_block_pairs_of_a_hot_band(spark, monkeypatch):
+    """Every similar pair of different components of a band is found, in blocks and past the leaders, whatever their numbers."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "LEAD", 16)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = {}
+    for i in range(70):
+        x = base.copy()
+        x[rng.choice(60, int(rng.integers(0, 8)), replace=False)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+        sets[i] = np.unique(x)
+    comp = {i: 0 if i % 7 else i for i in range(70)} | {69: 63, 0: 0}
+    sigs = {i: (minhash.signature(s) >> np.uint64(48)).astype("<u2").tobytes() for i, s in sets.items()}
+    short = {i: np.unique((s & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for i, s in sets.items()}
+    rows = [(key, i, comp[i], len(sets[i]), bytearray(sigs[i]), bytearray(short[i])) for key in (1, 2) for i in range(70) if key == 1 or i < 30]
+    df = spark.createDataFrame(rows, "key long, id long, component long, n long, sig binary, short binary")
+    got = {(r["a"], r["b"]) for r in minhash._block_pairs(df, 0.0, 80).collect()}
+    want = {(i, j) for i in range(70) for j in range(i + 1, 70) if comp[i] != comp[j] and minhash.similar(sets[i], sets[j])}
+    assert want and want <= got
+    assert all(comp[a] != comp[b] for a, b in got)
