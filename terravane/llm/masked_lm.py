@@ -1,14 +1,16 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A bidirectional window network predicts the token at every position from the tokens on both sides:
-embeddings of the left and right neighbour, a tanh layer, and a softmax over the vocabulary, trained in
-numpy by cross entropy. The vocabulary has WORDS frequent word buckets (words hash to BUCKETS buckets,
-counted over all documents) and a tail of TAIL buckets for the rest; id 0 is the text's edge.
-
-The input of the network is one of V x V contexts, so that the counts of (left, token, right) over ALL
-documents are its whole training data: they are counted by the executors and merged by left token, and
-V^3 counts at most (8 MB) reach the driver, whatever the size of the corpus. Every position of every text
-is then scored with the network's log-probabilities.
+A bidirectional window network predicts the token at every position from SPAN tokens on both sides:
+embeddings of the neighbours by place, a tanh layer, and a softmax in two levels (a group of tokens, then the
+token in its group), trained in numpy by cross entropy. All words are counted over all documents. The commonest
+have tokens of their own, and their number grows with the root of the counted positions; the rest share tail
+tokens by hash, and each has its share of its token's count: p(word | sides) = p(token | sides) * n(word) / n(token).
+Token 0 is the text's edge.
+
+Every position of every document is trained on once: in each of ROUNDS parts of the documents the executors
+go through their own rows from the same parameters, which are then averaged by positions. Word counts stay
+distributed and are joined to the rare words of the documents; what reaches the driver is the vocabulary and the
+parameters. The averages, and so the last digits of the scores, depend on how the rows are dealt to tasks.
 
 Defined results: null or empty text has no tokens, a sum of 0, and no mean (null); repeated rows count
 repeatedly and get equal scores; an empty table gives an empty result; other columns are not read.
@@ -16,7 +18,9 @@ repeatedly and get equal scores; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,151 +29,319 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm.common import id_text, map_batches, table
-from terravane.session import ship
+from terravane.session import materialize, ship
 
-BUCKETS = 1 << 16
-WORDS, TAIL = 95, 32
-VOCABULARY = 1 + WORDS + TAIL
+LEAST_WORDS = 95
+SHARE = 0.5
+SPAN = 2
 WIDTH = 24
 STEPS = 150
-FLUSH = 4_000_000
-
-
-def buckets(text: str) -> np.ndarray:
-    """The word buckets of a text."""
-    words = text.encode("utf-8", "replace").lower().split()
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & np.uint32(BUCKETS - 1)
+ROUNDS = 2
+BATCH = 16_384
+RATE = 0.05
+PIECE = 1 << 16
 
 
-def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all documents."""
+class _Hashes(dict):
+    """Memo from a word to 64 bits of its hash."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = sum((np.bincount(buckets(t), minlength=BUCKETS) for t in batch.column(0).to_pylist()), np.zeros(BUCKETS, np.int64))
-        at = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["bucket", "n"])
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        if len(self) >= 300_000:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = out
+        return out
 
-    rows = map_batches(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"]] = rows["n"]
-    return out
 
+_HASHES = _Hashes()
 
-def vocabulary(counts: np.ndarray, words: int = WORDS, tail: int = TAIL) -> np.ndarray:
-    """Token id of every bucket: the commonest buckets have their own, the others share the tail's."""
-    ids = (1 + words + np.arange(BUCKETS) % tail).astype(np.uint8)
-    common = np.lexsort((np.arange(BUCKETS), -counts))[:words]
-    common = common[counts[common] > 0]
-    ids[common] = 1 + np.arange(len(common))
-    return ids
 
+def hashes(text: str) -> np.ndarray:
+    """The words of a text, as 64-bit hashes."""
+    words = text.encode("utf-8", "replace").lower().split()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
 
-def contexts(ids: np.ndarray, v: int = VOCABULARY) -> np.ndarray:
-    """(left, right, token) of every position as one number; id 0 stands beyond the edges."""
-    a = np.zeros(len(ids) + 2, np.int64)
-    a[1:-1] = ids
-    return (a[:-2] * v + a[2:]) * v + a[1:-1]
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) over all documents."""
 
-def context_counts(texts: DataFrame, ids: np.ndarray, v: int = VOCABULARY) -> np.ndarray:
-    """Counts [left, right, token] over all documents. A task holds one array of v^3 counts and emits it by left token; the slices of a left token are then added up in the order they come."""
-    spark = ship(texts.sparkSession)
-    shared = spark.sparkContext.broadcast(ids)
-
-    def slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for left, part in enumerate(total.reshape(v, v * v)):
-            if len(at := np.flatnonzero(part)):
-                yield pa.RecordBatch.from_arrays([pa.array([left], pa.int32()), pa.array([at.astype("<u2" if v * v <= 65536 else "<u4").tobytes()]), pa.array([part[at].astype("<i4").tobytes()])], ["l", "at", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size, held = np.zeros(v**3, np.int64), 0, []
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                got = contexts(shared.value[buckets(text)], v)
-                if len(got) > 50_000:
-                    total += np.bincount(got, minlength=v**3)
-                else:
-                    held.append(got)
-                    size += len(got)
-                if size >= FLUSH:
-                    total += np.bincount(np.concatenate(held), minlength=v**3)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=v**3)
-        yield from slices(total)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for left, at, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sums.setdefault(left, np.zeros(v * v, np.int64))[np.frombuffer(at, "<u2" if v * v <= 65536 else "<u4")] += np.frombuffer(n, "<i4")
-        for left, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([left], pa.int32()), pa.array([part.astype("<i8").tobytes()])], ["l", "n"])
-
-    parts = texts.select("text").mapInArrow(count, "l int, at binary, n binary")
-    out = np.zeros((v, v * v), np.int64)
-    for r in parts.repartition("l").mapInArrow(add, "l int, n binary").toLocalIterator():
-        out[r["l"]] = np.frombuffer(bytes(r["n"]), "<i8")
-    return out.reshape(v, v, v)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c: Counter = Counter()
+        for t in batch.column(0).to_pylist():
+            c.update(hashes(t).tolist())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+
+    return map_batches(texts.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Vocabulary:
+    """Tokens: 0 the edge, then the words with tokens of their own (commonest first), then the tail."""
+
+    def __init__(self, words: np.ndarray, tail: int) -> None:
+        self.order = np.argsort(words)
+        self.words, self.tail = words[self.order], tail
+        self.size = 1 + len(words) + tail
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        out = 1 + len(self.words) + h % self.tail
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            known = self.words[at] == h
+            out[known] = 1 + self.order[at[known]]
+        return out
+
+    def rare(self, ids: np.ndarray) -> np.ndarray:
+        return ids > len(self.words)
+
+
+def own_words(positions: int) -> int:
+    """How many words have tokens of their own."""
+    return max(LEAST_WORDS, math.ceil(SHARE * math.sqrt(positions)))
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Of the counted words; words that occur equally often are in together or out together."""
+    bins = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    most, least, taken = own_words(sum(n * w for n, w in bins)), None, 0
+    for n, w in bins:
+        if taken + w > most:
+            break
+        least, taken = n, taken + w
+    rows = [] if least is None else counts.where(F.col("n") >= least).collect()
+    rows.sort(key=lambda r: (-r["n"], r["word"]))
+    return Vocabulary(np.array([r["word"] for r in rows], np.int64), max(32, most // 3))
+
+
+def contexts(ids: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """The neighbours of every position: span to the left, then span to the right; 0 stands beyond the edges."""
+    a = np.zeros(len(ids) + 2 * span, np.int64)
+    a[span : span + len(ids)] = ids
+    return np.stack([a[k : k + len(ids)] for k in range(2 * span + 1) if k != span], 1)
+
+
+class Network:
+    """Embeddings e (by place and token), bias b, groups (w, c) and tokens in their group (u, d), and the sums of squared gradients."""
+
+    def __init__(self, v: int, places: int = 2 * SPAN, width: int = WIDTH, seed: int = 3) -> None:
+        rng = np.random.default_rng(seed)
+        self.v, self.places = v, places
+        self.each = math.ceil(math.sqrt(v))
+        self.groups = math.ceil(v / self.each)
+        p = {"e": rng.normal(0, 0.3, (places * v, width)), "b": np.zeros(width), "w": rng.normal(0, 0.1, (width, self.groups)), "c": np.zeros(self.groups), "u": rng.normal(0, 0.1, (self.groups, width, self.each)), "d": np.zeros((self.groups, self.each))}
+        p["d"].reshape(-1)[v:] = -1e9  # places of the last group that hold no token
+        self.p = {k: x.astype(np.float32) for k, x in p.items()}
+        self.m = {k: np.full_like(x, 1e-8) for k, x in self.p.items()}
+
+    def start(self, unigram: np.ndarray) -> None:
+        """Biases that give the tokens their shares of all positions."""
+        n = np.zeros(self.groups * self.each)
+        n[: self.v] = unigram + 1.0
+        n = n.reshape(self.groups, self.each)
+        self.p["c"] = np.log(n.sum(1) / n.sum()).astype(np.float32)
+        self.p["d"] = np.where(n > 0, np.log(np.maximum(n, 1e-9) / n.sum(1, keepdims=True)), -1e9).astype(np.float32)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for part in (self.p, self.m) for x in part.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for part in (self.p, self.m):
+            for k, x in part.items():
+                part[k] = flat[at : at + x.size].astype(np.float32).reshape(x.shape)
+                at += x.size
+
+    def hidden(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = sides + np.arange(self.places) * self.v
+        x = self.p["b"] + self.p["e"][rows[:, 0]]
+        for k in range(1, self.places):
+            x += self.p["e"][rows[:, k]]
+        return rows, np.tanh(x)
+
+    def _parts(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(group, positions, place in the group)."""
+        g, place = np.divmod(token, self.each)
+        order = np.argsort(g, kind="stable")
+        ends = np.cumsum(np.bincount(g, minlength=self.groups))
+        for k in np.flatnonzero(np.diff(ends, prepend=0)):
+            at = order[(ends[k - 1] if k else 0) : ends[k]]
+            yield int(k), at, place[at]
+
+    def logs(self, sides: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Log-probability of each token between its sides."""
+        out = np.empty(len(token))
+        for k in range(0, len(token), BATCH):
+            t = token[k : k + BATCH]
+            h = self.hidden(sides[k : k + BATCH])[1]
+            got = _picked(h @ self.p["w"] + self.p["c"], t // self.each)
+            for g, at, place in self._parts(t):
+                got[at] += _picked(h[at] @ self.p["u"][g] + self.p["d"][g], place)
+            out[k : k + BATCH] = got
+        return out
+
+    def step(self, sides: np.ndarray, token: np.ndarray, weight: np.ndarray | None = None, rate: float = RATE) -> None:
+        """One step of Adagrad on the (weighted) mean cross entropy; only what the batch touches moves."""
+        n = len(token)
+        share = np.full(n, 1 / n, np.float32) if weight is None else (weight / weight.sum()).astype(np.float32)
+        rows, h = self.hidden(sides)
+        q = _softmax(h @ self.p["w"] + self.p["c"])
+        q[np.arange(n), token // self.each] -= 1
+        q *= share[:, None]
+        dh = q @ self.p["w"].T
+        self._move("w", slice(None), h.T @ q, rate)
+        self._move("c", slice(None), q.sum(0), rate)
+        for g, at, place in self._parts(token):
+            x = h[at]
+            r = _softmax(x @ self.p["u"][g] + self.p["d"][g])
+            r[np.arange(len(at)), place] -= 1
+            r *= share[at, None]
+            dh[at] += r @ self.p["u"][g].T
+            self._move("u", g, x.T @ r, rate)
+            self._move("d", g, r.sum(0), rate)
+        dh *= 1 - h * h
+        self._move("b", slice(None), dh.sum(0), rate)
+        flat = rows.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        ids, first = np.unique(flat[order], return_index=True)
+        self._move("e", ids, np.add.reduceat(dh[order % n], first, axis=0), rate)
+
+    def _move(self, k: str, at: slice | int | np.ndarray, g: np.ndarray, rate: float) -> None:
+        m = self.m[k][at] + g * g
+        self.m[k][at] = m
+        self.p[k][at] -= rate * g / np.sqrt(m)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of one entry a row."""
+    z -= z.max(1, keepdims=True)
+    out = z[np.arange(len(at)), at].astype(np.float64)
+    np.exp(z, out=z)
+    return out - np.log(z.sum(1))
 
 
 def train(counts: np.ndarray, width: int = WIDTH, steps: int = STEPS, seed: int = 3) -> np.ndarray:
-    """Log-probabilities [left, right, token] of the trained network."""
+    """Log-probabilities [left, right, token] of a network trained on a small table of counts, with one neighbour a side."""
     v = counts.shape[0]
-    rng = np.random.default_rng(seed)
-    unigram = counts.sum((0, 1)) + 1.0
-    p = {"l": rng.normal(0, 0.3, (v, width)), "r": rng.normal(0, 0.3, (v, width)), "b": np.zeros(width), "w": rng.normal(0, 0.1, (width, v)), "c": np.log(unigram / unigram.sum())}
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    seen = np.argwhere(counts.sum(2) > 0)
-    weight = counts.sum(2)[seen[:, 0], seen[:, 1]].astype(np.float64)
-    if not len(seen):
-        return np.broadcast_to(p["c"], counts.shape).astype(np.float32)
-    # Contexts are drawn by their share of all positions, tempered so that rare ones are seen too.
-    chance = weight**0.75
-    chance /= chance.sum()
-    m = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
-    for t in range(1, steps + 1):
-        pick = rng.choice(len(seen), 1024, p=chance)
-        left, right = seen[pick].T
-        y = counts[left, right].astype(np.float32)
-        y /= y.sum(1, keepdims=True)
-        scale = (weight[pick] / weight.sum() / chance[pick]).astype(np.float32)
-        h = np.tanh(p["l"][left] + p["r"][right] + p["b"])
-        z = h @ p["w"] + p["c"]
-        q = np.exp(z - z.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        d = (q - y) * (scale / len(pick))[:, None]
-        dh = (d @ p["w"].T) * (1 - h * h)
-        g = {"w": h.T @ d, "c": d.sum(0), "b": dh.sum(0), "l": np.zeros_like(p["l"]), "r": np.zeros_like(p["r"])}
-        np.add.at(g["l"], left, dh)
-        np.add.at(g["r"], right, dh)
-        rate = 0.03 * (1 - t / (steps + 1))
-        for k, (a, b) in m.items():  # Adam
-            a += 0.1 * (g[k] - a)
-            b += 0.001 * (g[k] ** 2 - b)
-            p[k] -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-    out = np.empty(counts.shape, np.float32)
-    for left in range(v):
-        z = np.tanh(p["l"][left] + p["r"] + p["b"]) @ p["w"] + p["c"]
-        out[left] = z - z.max(1, keepdims=True)
-        out[left] -= np.log(np.exp(out[left]).sum(1, keepdims=True))
-    return out
+    net = Network(v, 2, width, seed)
+    net.start(counts.sum((0, 1)))
+    seen = np.argwhere(counts > 0)
+    for _ in range(steps if len(seen) else 0):
+        net.step(seen[:, :2], seen[:, 2], counts[tuple(seen.T)].astype(np.float64))
+    every = np.indices(counts.shape).reshape(3, -1).T
+    return net.logs(every[:, :2], every[:, 2]).reshape(counts.shape).astype(np.float32)
+
+
+def fit(texts: DataFrame, words: Vocabulary, unigram: np.ndarray) -> Network:
+    """Goes through all positions once; tasks start a round from the same parameters, and these are averaged by positions."""
+    spark = ship(texts.sparkSession)
+    net = Network(words.size)
+    net.start(unigram)
+
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((words, net))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words, net = shared.value
+            own = Network(net.v)
+            own.load(net.flat())
+            rng, held, size, total = np.random.default_rng(11), [], 0, 0
+
+            def flush() -> None:
+                sides, token = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = rng.permutation(len(token))
+                for a in range(0, len(order), BATCH):
+                    at = order[a : a + BATCH]
+                    own.step(sides[at], token[at])
+
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    ids = words.ids(hashes(text))
+                    if len(ids):
+                        held.append((contexts(ids), ids))
+                        size += len(ids)
+                        total += len(ids)
+                    if size >= 8 * BATCH:
+                        flush()
+                        held, size = [], 0
+            if held:
+                flush()
+            flat = own.flat() if total else np.empty(0, np.float32)
+            for a in range(0, len(flat), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([a // PIECE], pa.int32()), pa.array([total], pa.int64()), pa.array([flat[a : a + PIECE].tobytes()], pa.binary())], ["piece", "n", "x"])
+
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for piece, n, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    x = np.frombuffer(x, np.float32) * float(n)
+                    had = sums.get(piece)
+                    sums[piece] = [x.astype(np.float64), n] if had is None else [had[0] + x, had[1] + n]
+            for piece, (x, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], ["piece", "x"])
+
+        part = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
+        got = part.mapInArrow(learn, "piece int, n long, x binary").repartition("piece").sortWithinPartitions("piece", "n", "x").mapInArrow(average, "piece int, x binary")
+        flat = net.flat()
+        for r in got.toLocalIterator():
+            x = np.frombuffer(bytes(r["x"]), np.float32)
+            flat[r["piece"] * PIECE : r["piece"] * PIECE + len(x)] = x
+        net.load(flat)
+    return net
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over positions, natural logarithm), mean_log_likelihood, perplexity."""
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col)
-    ids = vocabulary(bucket_counts(texts))
-    shared = spark.sparkContext.broadcast((ids, train(context_counts(texts, ids)).ravel()))
+    counts = materialize(word_counts(texts))
+    words = vocabulary(counts)
+    known = spark.sparkContext.broadcast(words)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, logs = shared.value
-        got = [contexts(known[buckets(t)]) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([float(logs[x].sum(dtype=np.float64)) for x in got], pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
+    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.bincount(known.value.ids(np.asarray(batch.column(0))), batch.column(1), known.value.size)
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], ["token", "n"])
 
+    unigram = np.zeros(words.size)
+    for r in map_batches(counts, tokens, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        unigram[r["token"]] = r["n"]
+    shared = spark.sparkContext.broadcast((words, fit(texts, words, unigram), np.log(np.maximum(unigram, 1))))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, net, logs = shared.value
+        hs = [hashes(t) for t in batch.column(1).to_pylist()]
+        sizes, out, found, times = [len(h) for h in hs], [], [], []
+        every = [words.ids(h) for h in hs]
+        first = 0
+        while first < len(hs):  # texts together, so that a group of tokens meets many positions
+            last, size = first, 0
+            while last < len(hs) and (last == first or size + sizes[last] <= 4 * BATCH):
+                size, last = size + sizes[last], last + 1
+            ids = np.concatenate(every[first:last])
+            got = net.logs(np.concatenate([contexts(x) for x in every[first:last]]), ids) - np.where(words.rare(ids), logs[ids], 0.0)
+            out += [float(x.sum()) for x in np.split(got, np.cumsum(sizes[first:last])[:-1])]
+            first = last
+        for h, ids in zip(hs, every, strict=True):
+            w, n = np.unique(h[words.rare(ids)], return_counts=True)
+            found.append(w)
+            times.append(n)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.float64()), pa.array(found, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "log_likelihood", "words", "times"])
+
+    # A rare word adds the logarithm of its count, from the counts of all documents.
+    rows = materialize(map_batches(texts, run, "doc_id long, n_tokens long, log_likelihood double, words array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    rare = each.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n").cast("double"))).alias("rare"))
+    scored = rows.select("row", "doc_id", "n_tokens", "log_likelihood").join(rare, "row", "left")
+    scored = scored.select("doc_id", "n_tokens", F.least(F.lit(0.0), F.col("log_likelihood") + F.coalesce("rare", F.lit(0.0))).alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return map_batches(texts, run, "doc_id long, n_tokens long, log_likelihood double").select("*", mean.alias("mean_log_likelihood"), F.exp(-mean).alias("perplexity"))
+    return scored.select("*", mean.alias("mean_log_likelihood"), F.exp(-mean).alias("perplexity"))
 
 
 def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

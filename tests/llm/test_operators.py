@@ -186,3 +186,30 @@ def test_block_pairs_of_a_hot_band(spark, monkeypatch):
     want = {(i, j) for i in range(70) for j in range(i + 1, 70) if comp[i] != comp[j] and minhash.similar(sets[i], sets[j])}
     assert want and want <= got
     assert all(comp[a] != comp[b] for a, b in got)
+
+
+def test_masked_lm_of_rare_words(spark):
+    """Every counted word has a probability of its own, and at a place they sum to 1."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"c{int(i)}" for i in rng.integers(0, 95, 40)) for _ in range(60)]
+    rare = {f"r{i}": 1 + i % 2 for i in range(100)}  # fewer occurrences than any common word
+    texts += [f"c1 {w} c2" for w, n in rare.items() for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert masked_lm.own_words(4_000_000) > masked_lm.own_words(40_000) >= masked_lm.LEAST_WORDS
+    got = {r["doc_id"]: r["log_likelihood"] for r in masked_lm.score(docs).collect()}
+    by = defaultdict(set)
+    for i, t in enumerate(texts):
+        if t.split()[1] in rare:
+            by[t.split()[1]].add(round(got[i], 6))
+    assert all(len(x) == 1 for x in by.values())
+    # Words of one tail token differ by the logarithm of their counts: the neighbours' terms are equal.
+    tail = defaultdict(lambda: defaultdict(list))
+    words = masked_lm.vocabulary(masked_lm.word_counts(docs.select("text")))
+    for w in rare:
+        token = int(words.ids(masked_lm.hashes(w))[0])
+        assert words.rare(np.array([token]))[0]
+        tail[token][rare[w]].append(by[w])
+    both = [x for x in tail.values() if len(x) == 2]
+    assert both and all(abs(next(iter(x[2][0])) - next(iter(x[1][0])) - np.log(2)) < 1e-4 for x in both)
+    net = masked_lm.Network(50)
+    assert np.isclose(np.exp(net.logs(np.tile([3, 0, 7, 9], (50, 1)), np.arange(50))).sum(), 1, atol=1e-4)
