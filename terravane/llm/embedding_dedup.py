@@ -3,8 +3,9 @@
 The two halves of the unit vectors have codebooks of their own (k-means on at most SAMPLE vectors); a cell
 is a pair of their entries, and every vector lies in its nearest cell. A vector visits the cells of the
 product grid in the order of their distance (multi-sequence traversal) while that exceeds the nearest
-cell's by at most `reach`. The reach is set for the target recall: QUERIES vectors are compared with all
-vectors by brute force, and the reach covers the excess of RECALL of their links, and a margin.
+cell's by at most `reach`. The reach is set for the target recall: QUERIES_N vectors are compared with all
+vectors by brute force, each counts by its farthest link, however many links it has, and the reach covers
+RECALL of these and a margin. It is REACH at least, for groups too few to be among the QUERIES_N.
 Visited vectors are verified by cosine in double precision.
 
 Equal vectors form one class with a count. A cell is compared in blocks of RESIDENTS x VISITORS classes,
@@ -41,7 +42,6 @@ REACH = 0.25
 CELL = 16
 MOST_ENTRIES = 1024
 RESIDENTS, VISITORS = 512, 2048
-BINS, SPAN = 400, 2.0
 
 
 def units(raw: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
@@ -142,17 +142,14 @@ def fit(classes: DataFrame, dim: int, cosine: float = COSINE) -> Index | None:
         s, t = np.nonzero(q @ y.T >= cosine)
         i, j = np.divmod(home[t], len(index.books[1]))
         excess = a[s, i] + b[s, j] - a.min(1)[s] - b.min(1)[s]
-        n = np.bincount(np.minimum((excess / SPAN * BINS).astype(int), BINS - 1), minlength=BINS)
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(BINS), pa.int32()), pa.array(n, pa.int64())], ["bin", "n"])
-
-    rows = map_batches(classes.select("v"), run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    links = np.zeros(BINS)
-    for r in rows:
-        links[r["bin"]] = r["n"]
-    if links.sum() - len(q) >= 50:  # a query's link with itself says nothing
-        links[0] = max(0, links[0] - len(q))
-        cover = np.cumsum(links) / max(links.sum(), 1)
-        index.reach = float((np.searchsorted(cover, RECALL) + 1) / BINS * SPAN * MARGIN)
+        far = np.zeros(len(q))
+        np.maximum.at(far, s, excess)
+        at = np.flatnonzero(far > 1e-9)  # a query's link with itself says nothing
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(far[at], pa.float64())], ["query", "far"])
+
+    rows = map_batches(classes.select("v"), run, "query int, far double").groupBy("query").agg(F.max("far").alias("far")).collect()
+    if rows:
+        index.reach = max(REACH, float(np.quantile([r["far"] for r in rows], RECALL, method="higher")) * MARGIN)
     return index
 
 

@@ -213,3 +213,23 @@ def test_masked_lm_of_rare_words(spark):
     assert both and all(abs(next(iter(x[2][0])) - next(iter(x[1][0])) - np.log(2)) < 1e-4 for x in both)
     net = masked_lm.Network(50)
     assert np.isclose(np.exp(net.logs(np.tile([3, 0, 7, 9], (50, 1)), np.arange(50))).sum(), 1, atol=1e-4)
+
+
+def hot_vectors(n=6000, dim=64, seed=8):
+    """A third in one group of cosine about 0.995, the others in groups of four at about 0.957."""
+    rng = np.random.default_rng(seed)
+    near = lambda centre, size, cosine: centre + rng.normal(size=(size, dim)) / np.sqrt(dim) * np.sqrt(1 / cosine - 1)
+    unit = lambda: (lambda c: c / np.linalg.norm(c))(rng.normal(size=dim))
+    return np.concatenate([near(unit(), n // 3, 0.995), *(near(unit(), 4, 0.957) for _ in range(n // 6))])
+
+
+def test_embedding_recall_beside_a_hot_group(spark):
+    """Links of small groups are found, whatever share of all links one large group has."""
+    x = hot_vectors()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= embedding_dedup.COSINE).sum(1) - 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    share = np.array([got[i] / want[i] for i in range(len(x)) if want[i]])
+    cold = np.array([got[i] / want[i] for i in range(len(x) // 3, len(x)) if want[i]])
+    assert len(cold) > 1000 and share.max() <= 1 and cold.mean() >= 0.99 and share.mean() >= 0.99
