@@ -9,8 +9,8 @@ texts) turn a segment score into an extreme-value E-value; segments with E <= SI
 passages, and a logistic curve over their summed evidence gives the score.
 
 Labels of the held-out fold (crc32 of the id modulo 3 is 1) are never read. Log-odds come from at most
-training.SAMPLE labelled rows and at most TOKENS candidate tokens; frequencies cover all documents; whole
-texts are scanned.
+training.SAMPLE labelled rows, for all tokens in LEAST or more of their toxic texts; frequencies cover all
+documents; whole texts are scanned.
 
 Defined results: null text counts as empty; a text without a scoring token has the lowest score of the
 curve; without labels of both kinds every score is 0; rows with null doc_id are scored and not held out.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm.common import id_text, map_batches, table
 from terravane.llm.training import SAMPLE, held_out, sample_texts, training_labels
+from terravane.session import materialize
 
 FOLDS, FOLD = 3, 1
 CUT = 0.7
@@ -35,7 +36,6 @@ MISS = -0.25
 Z = 4.5
 PRIOR = 1000.0
 REPEATS = 3
-TOKENS = 20_000
 LEAST = 5
 SIGNIFICANT = 0.05
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -230,17 +230,23 @@ def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = sample_texts(texts, rows)
     counts = map_batches(chosen, _count, "label int, token binary, n long").groupBy("token").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    # Candidates: the TOKENS tokens with most toxic occurrences, and the totals.
-    got = counts.where(F.col("toxic") >= LEAST).orderBy(F.desc("toxic"), "token").limit(TOKENS).collect()
-    totals = counts.where(F.col("token") == F.lit(b"")).collect()
-    toxic = {bytes(r["token"]): r["toxic"] for r in [*got, *totals]}
-    clean = {bytes(r["token"]): r["clean"] for r in [*got, *totals]}
-    if not toxic.get(b"") or not clean.get(b""):
+    # Candidates: all tokens with LEAST or more toxic texts, their number bounded by the sample; and the totals.
+    counts = materialize(counts.where((F.col("toxic") >= LEAST) | (F.col("token") == F.lit(b""))))
+    total = [(r["toxic"], r["clean"]) for r in counts.where(F.col("token") == F.lit(b"")).collect()]
+    if not total or not all(total[0]):
         return Model({})
-    wanted = spark.sparkContext.broadcast(frozenset(toxic) - {b""})
+    wanted = spark.sparkContext.broadcast(frozenset(bytes(r["token"]) for r in counts.select("token").toLocalIterator()) - {b""})
     everything = map_batches(texts.select(F.lit(0).alias("label"), "text"), lambda b: _count(b, wanted.value), "label int, token binary, n long")
-    background = {bytes(r["token"]): r["n"] for r in everything.groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    model = Model(log_odds(toxic, clean, background))
+    background = materialize(everything.groupBy("token").agg(F.sum("n").alias("n")))
+    spread = background.where(F.col("token") == F.lit(b"")).collect()[0]["n"]
+
+    def significant(batch: pa.RecordBatch) -> pa.RecordBatch:
+        toxic, clean, seen = ({b"": n, **dict(zip(batch.column(0).to_pylist(), batch.column(k).to_pylist(), strict=True))} for k, n in ((1, total[0][0]), (2, total[0][1]), (3, spread)))
+        got = log_odds(toxic, clean, seen)
+        return pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.float64())], ["token", "score"])
+
+    both = counts.where(F.col("token") != F.lit(b"")).join(background, "token").select("token", "toxic", "clean", "n")
+    model = Model({bytes(r["token"]): r["score"] for r in map_batches(both, significant, "token binary, score double").collect()})
     known = spark.sparkContext.broadcast(model.scores)
     seen = map_batches(texts.select("text"), lambda b: _histogram(b, known.value), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
     model.lam = solve_lambda(seen["score"].to_numpy(float), seen["n"].to_numpy(float))

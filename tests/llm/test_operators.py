@@ -233,3 +233,14 @@ def test_embedding_recall_beside_a_hot_group(spark):
     share = np.array([got[i] / want[i] for i in range(len(x)) if want[i]])
     cold = np.array([got[i] / want[i] for i in range(len(x) // 3, len(x)) if want[i]])
     assert len(cold) > 1000 and share.max() <= 1 and cold.mean() >= 0.99 and share.mean() >= 0.99
+
+
+def test_rare_toxic_token_is_a_candidate(spark, monkeypatch):
+    """A word of some toxic texts and no clean one scores, however many words are in more toxic texts."""
+    monkeypatch.setattr(toxicity, "TOKENS", 20, raising=False)
+    common = [f"common{i:02d}x" for i in range(60)]
+    texts = [(i, " ".join(common) + (" vileword" if i % 6 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    scores = toxicity.fit(docs, labels).scores.known
+    assert b"vileword" in scores and not any(w.encode() in scores for w in common)
