@@ -35,7 +35,6 @@ CUT = 0.7
 MISS = -0.25
 Z = 4.5
 PRIOR = 1000.0
-REPEATS = 3
 LEAST = 5
 SIGNIFICANT = 0.05
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -102,17 +101,8 @@ class Model:
         self.scores, self.lam, self.k, self.curve = _Scores(scores), lam, 1.0, ()
 
     def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(position, score) of the scoring tokens; the same token scores REPEATS times in a text."""
-        found = [(i, s) for i, s in enumerate(map(self.scores.__getitem__, words)) if s]
-        if len(found) <= REPEATS:
-            return found
-        seen: Counter = Counter()
-        out = []
-        for i, s in found:
-            seen[words[i]] += 1
-            if seen[words[i]] <= REPEATS:
-                out.append((i, s))
-        return out
+        """(position, score) of the scoring tokens, wherever and however often they occur."""
+        return [(i, s) for i, s in enumerate(map(self.scores.__getitem__, words)) if s]
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Tokens, and the maximal scoring segments."""

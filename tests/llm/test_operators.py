@@ -244,3 +244,11 @@ def test_rare_toxic_token_is_a_candidate(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in texts], "doc_id long, toxic int")
     scores = toxicity.fit(docs, labels).scores.known
     assert b"vileword" in scores and not any(w.encode() in scores for w in common)
+
+
+def test_toxic_passage_of_words_used_before():
+    """A dense passage is found though its words occurred earlier in the text."""
+    model = toxicity.Model({b"bad": 3.0, b"vile": 2.5})
+    text = "bad vile " * 3 + "calm " * 2000 + "bad vile " * 8
+    found = [(a, b) for a, b, _ in model.passages(text)]
+    assert found == [(0, 5), (2006, 2021)]
