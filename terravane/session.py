@@ -9,12 +9,15 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Rows of a batch, at most, on the way to a Python worker and in a Parquet scan: batches of very long texts must fit in memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.parquet.columnarReaderBatchSize": 512}
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers of every executor; once per application."""
+    """Make this package importable in the Python workers of every executor, once per application, and limit the batches of this session to BATCHES (smaller numbers of the user's stay)."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         top = Path(__file__).resolve().parent
@@ -24,9 +27,10 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(top.rglob("*.py")):
                 z.write(p, p.relative_to(top.parent))
         spark.sparkContext.addPyFile(path)
-        # Arrow batches of at most this many rows: a batch of very long texts must fit in a Python worker.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
         _SHIPPED.add(app)
+    for name, most in BATCHES.items():
+        if not 0 < int(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
     return spark
 
 
@@ -44,13 +48,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path  # for discard()
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing will read again."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        if f.startswith(shared_dir(spark).replace("file:///", "file:/")) or f.startswith(shared_dir(spark)):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by materialize() that nothing will read again; others are left alone."""
+    for df in tables:
+        if (written := getattr(df, "_written", None)) is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(written)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """The table, marked to be sent to all tasks if it has at most `most` rows; else Spark chooses how to join it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
