@@ -232,6 +232,53 @@ def boundary_distance(x: Column, y: Column, poly: str | Column) -> Column:
     return F.array_min(F.transform(edges(poly), one))
 
 
+Polygon = Sequence[tuple[float, float]]
+
+
+def _sides(polygon: Polygon) -> list[tuple[float, float, float, float]]:
+    p = [(float(x), float(y)) for x, y in polygon]
+    return [(*a, *b) for a, b in zip(p, p[1:] + p[:1], strict=True)]
+
+
+def _between(x: Column, lo: float, hi: float) -> Column:
+    return (x >= lo) & (x <= hi)
+
+
+def in_polygon(x: Column, y: Column, polygon: Polygon) -> Column:
+    """point_in_polygon() for a polygon known when the query is planned: a sum over its sides without lambdas, behind a test of its bounding box. False for null points."""
+    sides = [(x1, y1, x2, y2) for x1, y1, x2, y2 in _sides(polygon) if y1 != y2]
+    if not sides:
+        return F.lit(False)
+    xs, ys = [s[0] for s in sides] + [s[2] for s in sides], [s[1] for s in sides] + [s[3] for s in sides]
+    # An edge owns its lower end: the ray crosses those with min(y1, y2) <= y < max(y1, y2).
+    crossed = sum((((y >= min(y1, y2)) & (y < max(y1, y2)) & (x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1)))).cast("int") for x1, y1, x2, y2 in sides), F.lit(0))
+    box = _between(x, min(xs), max(xs)) & _between(y, min(ys), max(ys))
+    return F.coalesce(F.when(box, crossed % 2 == 1).otherwise(False), F.lit(False)) & x.isNotNull() & y.isNotNull()
+
+
+def side_distance(x: Column, y: Column, polygon: Polygon) -> Column:
+    """boundary_distance() for a polygon known when the query is planned."""
+
+    def squared(x1: float, y1: float, x2: float, y2: float) -> Column:
+        dx, dy = x2 - x1, y2 - y1
+        size = dx * dx + dy * dy
+        if size == 0:
+            return (x - x1) * (x - x1) + (y - y1) * (y - y1)
+        s = clip(((x - x1) * dx + (y - y1) * dy) / size, 0.0, 1.0)
+        u, v = x - x1 - s * dx, y - y1 - s * dy
+        return u * u + v * v
+
+    each = [squared(*side) for side in _sides(polygon)]
+    return F.sqrt(F.least(*each) if len(each) > 1 else each[0])
+
+
+def in_band(x: Column, y: Column, polygon: Polygon, inner: float, outer: float) -> Column:
+    """Whether the distance to the boundary is in inner..outer; far points are told by the bounding box. False for null points."""
+    xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
+    box = _between(x, min(xs) - outer - 1e-9, max(xs) + outer + 1e-9) & _between(y, min(ys) - outer - 1e-9, max(ys) + outer + 1e-9)
+    return F.coalesce(F.when(box, _between(side_distance(x, y, polygon), inner, outer)).otherwise(False), F.lit(False))
+
+
 def as_point(p: Column) -> Column:
     """STRUCT<x, y> of a VARIANT that is [x, y] or {x, y}."""
     get = lambda path: F.try_variant_get(p, path, "double")
@@ -278,6 +325,11 @@ def voxel_for_cap(voxel: Column, n: Column, most: int = 2_500_000) -> Column:
     return F.when(n > most, voxel * F.sqrt(n / F.lit(float(most)))).otherwise(voxel)
 
 
+def capped_voxel(voxel: float, n: int, most: int = 2_500_000) -> float:
+    """voxel_for_cap() of plain numbers."""
+    return voxel * (n / most) ** 0.5 if n > most else voxel
+
+
 def quadratic_terms(u: Column, v: Column, s: Column) -> list[Column]:
     x, y = u / s, v / s
     return [F.lit(1.0), x, y, x * x, y * y, x * y]

@@ -42,7 +42,7 @@ def extent(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def grid_bin_mean(points: DataFrame, cell: float | Column, value: str = "z", least: int = 3, by: Sequence[str] = (), u: str = "x", v: str = "y") -> DataFrame:
     """Mean value of every cell with at least `least` points, cells counted from the smallest coordinates. A missing row is a hole."""
     low = points.groupBy(*by).agg(F.min(u).alias("u_min"), F.min(v).alias("v_min"))
-    joined = points.join(F.broadcast(low), list(by)) if by else points.crossJoin(F.broadcast(low))  # one row a region
+    joined = points.join(low, list(by)) if by else points.crossJoin(F.broadcast(low))  # without `by` a single row
     size = cell if isinstance(cell, Column) else F.lit(float(cell))
     ix, iy = F.floor((F.col(u) - F.col("u_min")) / size).cast("long"), F.floor((F.col(v) - F.col("v_min")) / size).cast("long")
     return joined.groupBy(*by, iy.alias("iy"), ix.alias("ix")).agg(F.avg(value).alias("h"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -57,7 +57,7 @@ def moments(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def top_surface(points: DataFrame, res: float | Column, width: int, height: int, by: Sequence[str] = (), order: str = "point_id") -> DataFrame:
     """Orthophoto raster: the colour of the highest point of each covered cell (ties: the largest point_id). points: (u, v, h, r, g, b)."""
     low = points.groupBy(*by).agg(F.min("u").alias("u0"), F.min("v").alias("v0"))
-    joined = points.join(F.broadcast(low), list(by)) if by else points.crossJoin(F.broadcast(low))
+    joined = points.join(low, list(by)) if by else points.crossJoin(F.broadcast(low))  # without `by` a single row
     size = res if isinstance(res, Column) else F.lit(float(res))
     index = lambda a, a0, n: F.least(F.greatest(F.floor((F.col(a) - F.col(a0)) / size).cast("long"), F.lit(0)), F.lit(n - 1))
     best = F.max_by(F.struct("r", "g", "b", "h"), F.struct("h", order)).alias("c")

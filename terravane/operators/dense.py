@@ -51,13 +51,14 @@ def fuse(pair_cloud: DataFrame, sparse: DataFrame, centres: DataFrame, most: int
     merged = materialize(numbered(voxel_downsample(voxel_downsample(pair_cloud, voxel, ["pair_id"]).drop("vx", "vy", "vz", "n"), voxel)))
     if merged.isEmpty():
         return None
-    cloud = remove_outliers(merged, 3 * voxel)
-    gap = float(spacing(sparse, max(float(size) / 50, 1e-6)).first()[0] or 0.0)
+    cloud = remove_outliers(merged)
+    gap = float(spacing(sparse).first()[0] or 0.0)
     cloud = materialize(support_filter(cloud, sparse.select("point_id", "x", "y", "z"), support_radius(voxel, gap, float(size))))
     n = cloud.count()
-    if n > most:
-        voxel *= (n / most) ** 0.5
+    grown = G.capped_voxel(voxel, n, most)
+    if grown > voxel:
+        voxel = grown
         cloud = materialize(numbered(voxel_downsample(cloud, voxel)))
     up = up_direction(centres, sparse)
-    cloud = ground_facing(cloud, up, 3 * voxel)
+    cloud = ground_facing(cloud, up)
     return Fused(cloud.withColumns({a: F.col(a).cast("float") for a in "xyz"}), voxel, up)

@@ -7,18 +7,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as G
-from terravane.session import ship
+from terravane.session import bounded, ship
 
 
-def covisibility(tracks: DataFrame) -> DataFrame:
+def covisibility(tracks: DataFrame, chunk: int = 256) -> DataFrame:
     """(a, b, shared): points seen by both images, a <= b. Tracks are multisets of elements: an image that sees a point twice shares it with itself.
 
-    Elements of a track are joined with the later ones; counts are partial before the shuffle.
+    Elements of a track are counted by image first; then the images of a track meet in blocks of about `chunk`, each pair of
+    blocks a group of its own, so that a track of any length is dealt to many tasks. Counts are partial before the shuffle.
     """
-    l = tracks.select("point3d_id", F.col("elem_idx").alias("i"), F.col("image_id").alias("p"))
-    r = tracks.select("point3d_id", F.col("elem_idx").alias("j"), F.col("image_id").alias("q"))
-    pairs = l.join(r, "point3d_id").where("i < j")
-    return pairs.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("shared"))
+    own = tracks.groupBy("point3d_id", "image_id").agg(F.count("*").alias("n"))
+    size = own.groupBy("point3d_id").agg(F.ceil(F.count("*") / chunk).cast("int").alias("blocks"))
+    rows = own.join(size, "point3d_id").withColumn("own", F.pmod(F.xxhash64("image_id"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    key = ["point3d_id", "i", "j"]
+    l = dealt.select("point3d_id", i, j, F.col("image_id").alias("p"), F.col("n").alias("np"), F.col("own").alias("bp"))
+    r = dealt.select("point3d_id", i, j, F.col("image_id").alias("q"), F.col("n").alias("nq"), F.col("own").alias("bq"))
+    # Within a block each pair once; between two blocks only across them.
+    pairs = l.join(r, key).where("(i = j AND p < q) OR (i < j AND bp = i AND bq = j)")
+    between = pairs.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum(F.col("np") * F.col("nq")).alias("shared"))
+    self_pairs = own.where("n > 1").groupBy(F.col("image_id").alias("a"), F.col("image_id").alias("b")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("shared"))
+    return between.unionByName(self_pairs)
 
 
 def points_per_image(tracks: DataFrame) -> DataFrame:
@@ -35,7 +45,7 @@ def top_neighbours(pairs: DataFrame, k: int) -> DataFrame:
 def median_depths(points: DataFrame, views: DataFrame, least: int = 20) -> DataFrame:
     """(image_id, median_depth) over the points in front of each view, for at least `least` of them. views is a small table."""
     q = G.to_camera([F.col(a) for a in "xyz"], "r", "t")
-    seen = points.select("x", "y", "z").crossJoin(F.broadcast(views.select("image_id", "r", "t"))).select("image_id", q[2].alias("d")).where("d > 0")
+    seen = points.select("x", "y", "z").crossJoin(bounded(views.select("image_id", "r", "t"))).select("image_id", q[2].alias("d")).where("d > 0")
     return seen.groupBy("image_id").agg(F.median("d").alias("median_depth"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
 
 

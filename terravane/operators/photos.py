@@ -21,10 +21,12 @@ def list_photos(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES))
 
 
-def import_names(files: DataFrame, order: str = "path") -> DataFrame:
-    """Capture order and normalized names NNN_stem.jpg; the position is counted over the files in order."""
+def import_names(files: DataFrame, order: str = "path", by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
+    """Capture order and normalized names NNN_stem.jpg; the position is counted over the files of an upload (by) in order. Without `by` the files are one upload, a small table; under `least` files it is refused."""
+    if not by and files.limit(least).count() < least:
+        raise ValueError(f"at least {least} readable photos are needed")
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    seq = F.row_number().over(Window.orderBy(order)) - 1
+    seq = F.row_number().over((Window.partitionBy(*by) if by else Window).orderBy(order)) - 1
     return files.withColumn("seq", seq).withColumn("name", F.format_string("%03d_%s.jpg", F.col("seq"), stem))
 
 
@@ -38,10 +40,34 @@ def pixels(images: DataFrame) -> DataFrame:
 
 
 def block_mean(px: DataFrame, factor: int) -> DataFrame:
-    """Area downscale by an integer factor."""
+    """Downscale by an integer factor: means of blocks."""
     return px.groupBy("name", F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(F.avg("gray").alias("gray"))
 
 
+def _spans(i: Column, size: Column, to: Column) -> Column:
+    """(cell, part) of the target cells that pixel i of `size` covers when the axis is shrunk to `to` cells."""
+    lo, hi = i * to / size, (i + 1) * to / size
+    cells = F.sequence(F.floor(lo + 1e-12).cast("int"), F.greatest(F.floor(lo + 1e-12), F.ceil(hi - 1e-12) - 1).cast("int"))
+    return F.transform(cells, lambda c: F.struct(c.alias("cell"), (F.least(hi, c + 1.0) - F.greatest(lo, c.cast("double"))).alias("part")))
+
+
+def area_resize(px: DataFrame, most: int) -> DataFrame:
+    """Downscale so that the longer side has at most `most` pixels: each target pixel is the mean of what it covers, by area, at any ratio. Smaller images stay."""
+    size = px.groupBy("name").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
+    s = F.least(F.lit(1.0), most / F.greatest("_h", "_w"))
+    to = lambda n: F.greatest(F.lit(1), F.rint(F.col(n) * s).cast("int"))
+    rows = px.join(size.withColumns({"_th": to("_h"), "_tw": to("_w")}), "name")
+    rows = rows.withColumn("_r", F.explode(_spans(F.col("row"), F.col("_h"), F.col("_th")))).withColumn("_c", F.explode(_spans(F.col("col"), F.col("_w"), F.col("_tw"))))
+    weight = F.col("_r.part") * F.col("_c.part")
+    return rows.groupBy("name", F.col("_r.cell").alias("row"), F.col("_c.cell").alias("col")).agg((F.sum(F.col("gray") * weight) / F.sum(weight)).alias("gray"))
+
+
+def scaled_intrinsics(k: str | Column, width: str | Column, height: str | Column, most: int) -> Column:
+    """K of an image after area_resize(): its first two rows times min(1, most / longer side)."""
+    s = F.least(F.lit(1.0), most / F.greatest(G.c(width), G.c(height)))
+    return F.transform(G.c(k), lambda x, i: F.when(i < 6, x * s).otherwise(x))
+
+
 def _mirrored(i: Column, last: Column) -> Column:
     return F.when(i < 0, -i).when(i > last, 2 * last - i).otherwise(i)
 
@@ -76,7 +102,7 @@ def exposure_blur(photos: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     the floor(n / 2) least sharp go instead (such a reason replaces exposure).
     """
     stats = photos.groupBy(*by).agg(F.median("lap").alias("_med"), F.count("*").alias("_n"))
-    rows = photos.join(F.broadcast(stats), list(by)) if by else photos.crossJoin(F.broadcast(stats))
+    rows = photos.join(stats, list(by)) if by else photos.crossJoin(F.broadcast(stats))  # without `by` a single row
     soft = F.col("lap") < F.greatest(F.lit(BLUR_FLOOR), BLUR_SHARE * F.col("_med"))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     rows = rows.withColumn("_soft", soft).withColumn("_fail", F.sum(F.col("_soft").cast("long")).over(over) > 0.5 * F.col("_n")).withColumn("_rank", F.row_number().over(over.orderBy("lap", "seq")))
@@ -104,7 +130,7 @@ def near_duplicates(photos: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def survivor_floor(photos: DataFrame, by: tuple[str, ...] = (), least: int = 3, compat: bool = False) -> DataFrame:
-    """Where fewer than three photos survive, rescue three by best exposure, then sharpness (compat: the three worst exposed, as the original does). Rescued photos keep their reason but are not dropped."""
+    """Where fewer than three photos survive, rescue three by best exposure, then sharpness (compat: the three worst exposed). Rescued photos keep their reason but are not dropped."""
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     order = [F.desc("clipped"), F.desc("lap"), F.desc("seq")] if compat else [F.asc("clipped"), F.desc("lap"), F.asc("seq")]
     left = F.sum(F.col("reason").isNull().cast("long")).over(over)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as G
+from terravane.operators.graph import top_neighbours
+from terravane.session import bounded
 
-Polygon = Sequence[tuple[float, float]]
+Polygon = G.Polygon
 
 
 def polygon_literal(polygon: Polygon) -> Column:
@@ -23,17 +23,24 @@ def photo_split(points: DataFrame, views: DataFrame, polygon: Polygon, primary:
     in the neighbours, minus the interior. views: (name, r, t, k, dist).
     """
     inner = rim_px * 0.5 if rim_inner_px is None else rim_inner_px
-    poly = polygon_literal(polygon)
     u, v, _ = G.project([F.col(a) for a in "xyz"], "r", "t", "k", "dist")
-    m = F.when(F.col("name") == primary, 1.0).otherwise(2.0)
-    seen = points.select("point_id", "x", "y", "z").crossJoin(F.broadcast(views.select("name", "r", "t", "k", "dist"))).select("point_id", G.no_nan(u).alias("u"), G.no_nan(v).alias("v"), m.alias("m"))
-    d = G.boundary_distance(F.col("u"), F.col("v"), poly)
-    inside = F.coalesce(G.point_in_polygon(F.col("u"), F.col("v"), poly), F.lit(False))
-    near = F.coalesce((d >= inner * F.col("m")) & (d <= (inner + rim_px) * F.col("m")), F.lit(False))
-    marks = seen.groupBy("point_id").agg(F.bool_and(inside).alias("interior"), F.bool_and(near).alias("_ring"))
+    own = views.select("name", "r", "t", "k", "dist")
+    seen = points.select("point_id", "x", "y", "z").crossJoin(bounded(own, 1000)).select("point_id", G.no_nan(u).alias("u"), G.no_nan(v).alias("v"), (F.col("name") == primary).alias("own"))
+    x, y = F.col("u"), F.col("v")
+    near = F.when(F.col("own"), G.in_band(x, y, polygon, inner, inner + rim_px)).otherwise(G.in_band(x, y, polygon, 2 * inner, 2 * (inner + rim_px)))
+    marks = seen.groupBy("point_id").agg(F.bool_and(G.in_polygon(x, y, polygon)).alias("interior"), F.bool_and(near).alias("_ring"))
     return points.join(marks, "point_id").withColumn("rim", F.col("_ring") & ~F.col("interior")).drop("_ring")
 
 
+def neighbour_views(primary: str, views: DataFrame, shared: DataFrame, k: int) -> DataFrame:
+    """The marked view and the k views that share most points with it (ties: the larger id). shared: (a, b, shared) of covisibility()."""
+    own = views.where(F.col("name") == primary)
+    if k <= 0:
+        return own
+    near = top_neighbours(shared, k).join(own.select("image_id"), "image_id").select(F.col("neighbour").alias("image_id"))
+    return own.unionByName(views.join(near, "image_id", "left_semi"))
+
+
 def rim_band(median_spacing: float) -> tuple[float, float]:
     """Default (inner, outer) band in metres, from the spacing of the cloud."""
     return min(max(6 * median_spacing, 0.08), 0.5), min(max(30 * median_spacing, 0.4), 2.5)
@@ -41,7 +48,6 @@ def rim_band(median_spacing: float) -> tuple[float, float]:
 
 def ortho_split(points: DataFrame, polygon: Polygon, inner: float, outer: float) -> DataFrame:
     """Add `interior` and `rim` to points with ground coordinates (u, v), all in metres."""
-    poly = polygon_literal(polygon)
-    d = G.boundary_distance(F.col("u"), F.col("v"), poly)
-    interior = F.coalesce(G.point_in_polygon(F.col("u"), F.col("v"), poly), F.lit(False))
-    return points.withColumn("interior", interior).withColumn("rim", F.coalesce((d >= inner) & (d <= outer), F.lit(False)) & ~F.col("interior"))
+    x, y = F.col("u"), F.col("v")
+    interior = G.in_polygon(x, y, polygon)
+    return points.withColumn("interior", interior).withColumn("rim", G.in_band(x, y, polygon, inner, outer) & ~F.col("interior"))

@@ -34,6 +34,16 @@ def best_marker(obs: DataFrame, by: tuple[str, ...] = ("recon_id",)) -> DataFram
     return seen.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "first")
 
 
+def marker_sides(corners: DataFrame) -> DataFrame:
+    """(recon_id, model_sides, mean_side, side_spread_rel) of markers given by their corners (recon_id, corner_idx, x, y, z): the lengths around, their mean, and their population deviation against it."""
+    ring = corners.groupBy("recon_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner_idx", "x", "y", "z"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z"))).alias("c"))
+    far = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]) + (a["z"] - b["z"]) * (a["z"] - b["z"]))
+    sides = ring.select("recon_id", F.zip_with("c", G.roll("c"), far).alias("model_sides"))
+    mean = G.total(F.col("model_sides")) / F.size("model_sides")
+    spread = F.sqrt(G.total(F.transform("model_sides", lambda s: (s - F.col("mean_side")) * (s - F.col("mean_side")))) / F.size("model_sides"))
+    return sides.withColumn("mean_side", mean).withColumn("side_spread_rel", F.try_divide(spread, F.col("mean_side")))
+
+
 def marker_scale(obs: DataFrame, views: DataFrame, side_m: float, marker_id: int | None = None) -> DataFrame:
     """Scale of each reconstruction from marker corners (recon_id, dict, dict_order, marker_id, view_name, corner_idx, px, py).
 
@@ -47,12 +57,7 @@ def marker_scale(obs: DataFrame, views: DataFrame, side_m: float, marker_id: int
     own = normalized(obs.join(best, ["recon_id", "dict", "marker_id"]), views).withColumn("key", F.concat_ws("|", "recon_id", "corner_idx"))
     xyz = triangulate(own, "key")
     corners = own.select("key", "recon_id", "corner_idx").distinct().join(xyz, "key")
-    ring = corners.groupBy("recon_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner_idx", "x", "y", "z"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z"))).alias("c"))
-    far = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]) + (a["z"] - b["z"]) * (a["z"] - b["z"]))
-    sides = ring.select("recon_id", F.zip_with("c", G.roll("c"), far).alias("model_sides"))
-    mean = G.total(F.col("model_sides")) / F.size("model_sides")
-    spread = F.sqrt(G.total(F.transform("model_sides", lambda s: (s - F.col("mean_side")) * (s - F.col("mean_side")))) / F.size("model_sides"))
-    sides = sides.withColumn("mean_side", mean).withColumn("side_spread_rel", F.try_divide(spread, F.col("mean_side")))
+    sides = marker_sides(corners)
     err = reprojection(xyz, own, "key").groupBy("recon_id").agg(F.avg("error").alias("reproj_px_mean"))
     px = own.groupBy("recon_id", "view_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner_idx", "px", "py"))), lambda s: F.struct(s["px"].alias("x"), s["py"].alias("y"))).alias("p"))
     side_px = px.groupBy("recon_id").agg(F.avg(G.total(G.side_lengths("p")) / F.size("p")).alias("px_side"), F.array_sort(F.collect_list("view_name")).alias("views_used"))

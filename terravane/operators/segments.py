@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as G
@@ -20,20 +20,24 @@ def class_id(class_map: str | Column, keyword: str) -> Column:
     return F.coalesce(F.try_element_at(hits, F.lit(1))["key"].try_cast("int"), F.lit(1))
 
 
-def parse_polygons(responses: DataFrame, column: str = "body", sx: float = 1.0, sy: float = 1.0, least_confidence: float = 0.35, least_area: float = 100.0) -> DataFrame:
-    """Regions (id columns, idx, class, confidence, polygon, area_px) of polygon-list responses, largest first by `rank`.
+def parse_polygons(responses: DataFrame, column: str = "body", sx: float = 1.0, sy: float = 1.0, least_confidence: float = 0.35, least_area: float = 100.0, most: int | None = 120, default_class: str = "region") -> DataFrame:
+    """Regions (id columns, idx, class, confidence, polygon, area_px, rank) of polygon-list responses; rank 1 is the largest of a response, ties by idx.
 
-    Anything malformed is skipped: a body that is no object, predictions that are no list, confidences that
-    are no number, outlines under three points, and areas under the limit after scaling.
+    Anything malformed is skipped by itself: a body that is no object, predictions that are no list, confidences that
+    are no number, outlines under three points, and areas under the limit after scaling. Outlines are simplified to `most` points.
     """
     ids = [c for c in responses.columns if c != column]
-    item = "struct<class:string,confidence:string,points:array<struct<x:string,y:string>>>"
-    preds = F.from_json(F.get_json_object(column, "$.predictions"), f"array<{item}>")
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    preds = get(F.try_parse_json(column), "$.predictions", "array<variant>")
     rows = responses.select(*ids, F.posexplode(preds).alias("idx", "p"))
-    point = lambda q: F.struct((q["x"].try_cast("double") * sx).alias("x"), (q["y"].try_cast("double") * sy).alias("y"))
-    rows = rows.select(*ids, "idx", F.col("p.class").alias("class"), F.col("p.confidence").try_cast("double").alias("confidence"), F.filter(F.transform("p.points", point), lambda q: q["x"].isNotNull() & q["y"].isNotNull()).alias("polygon"))
+    point = lambda q: F.struct((get(q, "$.x", "double") * sx).alias("x"), (get(q, "$.y", "double") * sy).alias("y"))
+    confidence = F.coalesce(get("p", "$.confidence", "double"), get("p", "$.confidence", "string").try_cast("double"))
+    points = F.filter(F.transform(get("p", "$.points", "array<variant>"), point), lambda q: q["x"].isNotNull() & q["y"].isNotNull())
+    rows = rows.select(*ids, "idx", F.coalesce(get("p", "$.class", "string"), F.lit(default_class)).alias("class"), confidence.alias("confidence"), points.alias("polygon"))
     rows = rows.where((F.col("confidence") >= least_confidence) & (F.size("polygon") >= 3)).withColumn("area_px", G.polygon_area("polygon")).where(F.col("area_px") >= least_area)
-    return rows.withColumn("confidence", F.round("confidence", 3)).withColumn("area_px", F.round("area_px", 1))
+    over = Window.partitionBy(*ids).orderBy(F.desc("area_px"), "idx")
+    rows = rows.withColumn("rank", F.row_number().over(over)).withColumn("confidence", F.round("confidence", 3)).withColumn("area_px", F.round("area_px", 1))
+    return rows if most is None else simplify(rows, most)
 
 
 def label_components(cells: pd.DataFrame) -> np.ndarray:
@@ -55,30 +59,92 @@ def label_components(cells: pd.DataFrame) -> np.ndarray:
     return np.array([root(i) for i in range(len(cells))], int)
 
 
-def mask_regions(mask: DataFrame, by: str, sx: float = 1.0, sy: float = 1.0, least_confidence: float = 0.35, width: int = 0, height: int = 0) -> DataFrame:
-    """(by, component, n_cells, confidence, area_px, outline) of the connected parts of a class mask given as its cells (by, row, col, conf 0..255).
-
-    One kernel an image. Specks under max(100, 5e-4 * pixels) before scaling and unsure parts are dropped. The
-    outline is the convex chain of each row's first and last cell.
+#: The eight neighbours of a cell, clockwise from the west.
+_RING = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+
+
+def outer_border(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The outer border of an 8-connected set of cells (row, col), followed clockwise from its first cell; cells on thin parts occur twice."""
+    start = min(cells)
+    chain, at, came = [start], start, 0  # the cell to the west of the first is outside
+    first = None
+    while True:
+        for k in range(1, 9):
+            d = (came + k) % 8
+            nxt = (at[0] + _RING[d][0], at[1] + _RING[d][1])
+            if nxt in cells:
+                break
+        else:
+            return chain  # a single cell
+        if at == start and first is None:
+            first = nxt
+        elif at == start and nxt == first:
+            return chain[:-1]
+        # Go on from the last cell looked at that was outside, as seen from the new cell.
+        back = (at[0] + _RING[(d - 1) % 8][0], at[1] + _RING[(d - 1) % 8][1])
+        came = _RING.index((back[0] - nxt[0], back[1] - nxt[1]))
+        at = nxt
+        chain.append(at)
+
+
+def corners_of(chain: list[tuple[int, int]]) -> np.ndarray:
+    """(x, y) of a border without the cells inside its straight runs."""
+    p = np.array([(c, r) for r, c in chain], float)
+    if len(p) < 3:
+        return p
+    step, nxt = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
+    return p[np.any(step != nxt, axis=1)]
+
+
+def _filled(cells: np.ndarray) -> np.ndarray:
+    """The component's cells and its holes, in its box: (rows, cols) of all that the outside does not reach by its sides."""
+    lo = cells.min(0) - 1
+    box = np.zeros(cells.max(0) - lo + 2, bool)
+    box[tuple((cells - lo).T)] = True
+    out = np.zeros_like(box)
+    out[0, :] = out[-1, :] = out[:, 0] = out[:, -1] = True
+    while True:
+        new = out.copy()
+        new[1:] |= out[:-1]
+        new[:-1] |= out[1:]
+        new[:, 1:] |= out[:, :-1]
+        new[:, :-1] |= out[:, 1:]
+        new &= ~box
+        if (new == out).all():
+            return np.argwhere(~out) + lo
+        out = new
+
+
+def mask_regions(mask: DataFrame, by: str, class_id: int = 1, sx: float = 1.0, sy: float = 1.0, least_confidence: float = 0.35, most: int = 120) -> DataFrame:
+    """(by, rank, n_cells, confidence, area_px, polygon) of the connected parts of a class in masks given by their pixels (by, row, col, class[, conf 0..255]), largest first.
+
+    One kernel an image. The polygon is the outer border through the centres of its pixels, simplified to `most` points; parts whose border encloses less than
+    max(100, 5e-4 * pixels) before scaling are specks. The confidence is the mean over all that the border encloses, 1 without conf.
     """
     ship(mask.sparkSession)
-    least = max(100.0, 5e-4 * width * height)
+    rows_of = mask if "conf" in mask.columns else mask.withColumn("conf", F.lit(255.0))
     kind = mask.schema[by].dataType.simpleString()
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"]).reset_index(drop=True)
-        pdf["component"] = label_components(pdf)
-        rows = []
-        for comp, part in pdf.groupby("component"):
-            conf = float(part["conf"].mean()) / 255
-            if len(part) >= least and conf >= least_confidence:
-                ends = part.groupby("row")["col"].agg(["min", "max"]).reset_index()
-                left, right = ends[["min", "row"]].to_numpy(float), ends[["max", "row"]].to_numpy(float)
-                chain = np.vstack([right, left[::-1]]) * [sx, sy]
-                rows.append((part[by].iloc[0], int(comp), len(part), round(conf, 3), round(len(part) * sx * sy, 1), [{"x": float(x), "y": float(y)} for x, y in chain]))
-        return pd.DataFrame(rows, columns=[by, "component", "n_cells", "confidence", "area_px", "polygon"])
-
-    return mask.select(by, "row", "col", "conf").groupBy(by).applyInPandas(kernel, f"{by} {kind}, component int, n_cells long, confidence double, area_px double, polygon array<struct<x:double,y:double>>")
+        least = max(100.0, 5e-4 * len(pdf))
+        conf = dict(zip(zip(pdf["row"], pdf["col"], strict=True), pdf["conf"], strict=True))
+        own = pdf[pdf["class"] == class_id].sort_values(["row", "col"]).reset_index(drop=True)
+        own["component"] = label_components(own)
+        found = []
+        for _, part in own.groupby("component"):
+            chain = corners_of(outer_border(set(zip(part["row"], part["col"], strict=True))))
+            x, y = chain.T
+            area = 0.5 * abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) if len(chain) > 2 else 0.0
+            if area < least:
+                continue
+            sure = float(np.mean([conf[r, c] for r, c in _filled(part[["row", "col"]].to_numpy()).tolist() if (r, c) in conf])) / 255
+            if sure >= least_confidence:
+                outline = simplify_outline(chain * [sx, sy], most)
+                found.append((pdf[by].iloc[0], len(part), round(sure, 3), round(area * sx * sy, 1), [{"x": float(a), "y": float(b)} for a, b in outline]))
+        found.sort(key=lambda f: -f[3])
+        return pd.DataFrame([(f[0], k + 1, *f[1:]) for k, f in enumerate(found)], columns=[by, "rank", "n_cells", "confidence", "area_px", "polygon"])
+
+    return rows_of.select(by, "row", "col", "class", "conf").groupBy(by).applyInPandas(kernel, f"{by} {kind}, rank int, n_cells long, confidence double, area_px double, polygon array<struct<x:double,y:double>>")
 
 
 def _farthest(p: np.ndarray, lo: int, hi: int) -> tuple[float, int]:

@@ -24,7 +24,7 @@ from terravane.operators import scale as SC
 from terravane.operators import segments as SG
 from terravane.operators import surface as SF
 from terravane.plans import relations as R
-from terravane.session import materialize
+from terravane.session import discard, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ SQL: dict[str, str] = {}
 POLY = R.polygon()
 _POLY_ROWS = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {POLY[(i + 1) % len(POLY)][0]!r}::DOUBLE, {POLY[(i + 1) % len(POLY)][1]!r}::DOUBLE)" for i, (x, y) in enumerate(POLY))
 EDGES = f"edges(i, x1, y1, x2, y2) AS (VALUES {_POLY_ROWS})"
-CLOUD, VOX, TRACKS, VIEWS, PHOTOS = (f"{n} AS ({s})" for n, s in (("cloud", R.CLOUD_SQL), ("vox", f"SELECT point_id, round(x + 1.23e-9::DOUBLE, 6) AS x, round(y + 1.23e-9::DOUBLE, 6) AS y, round(z + 1.23e-9::DOUBLE, 6) AS z FROM ({R.VOXELS_SQL})"), ("tracks", R.TRACKS_SQL), ("views", R.VIEWS_SQL), ("photos", R.PHOTOS_SQL)))
+CLOUD, TRACKS, VIEWS, PHOTOS = (f"{n} AS ({s})" for n, s in (("cloud", R.CLOUD_SQL), ("tracks", R.TRACKS_SQL), ("views", R.VIEWS_SQL), ("photos", R.PHOTOS_SQL)))
 
 
 SHIFT = {3: "1.23e-7", 4: "1.23e-7", 6: "1.23e-9"}
@@ -83,9 +83,9 @@ def ortho_top_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(CL.top_surface(_uvh(R.cloud(spark, sf_dir)), R.RES, R.WIDTH, R.WIDTH))
 
 
-@query(f"WITH {CLOUD}, m AS (SELECT min(x) AS u0, min(y) AS v0, max(x) - min(x) AS su, max(y) - min(y) AS sv, count(*) AS n FROM cloud) SELECT round(u0, 4) + 0.0 AS u0, round(v0, 4) + 0.0 AS v0, round(greatest(su, sv) / 1400, 6) + 0.0 AS res, CAST(floor(su / (greatest(su, sv) / 1400)) AS BIGINT) + 1 AS width, CAST(floor(sv / (greatest(su, sv) / 1400)) AS BIGINT) + 1 AS height, n FROM m WHERE n >= 200")
+@query(f"WITH {CLOUD}, m AS (SELECT min(x) AS u0, min(y) AS v0, max(x) - min(x) AS su, max(y) - min(y) AS sv, count(*) AS n FROM cloud) SELECT round(u0, 4) + 0.0 AS u0, round(v0, 4) + 0.0 AS v0, round(greatest(su, sv) / 1400, 6) + 0.0 AS res, CAST(floor(su / (greatest(su, sv) / 1400)) AS BIGINT) + 1 AS width, CAST(floor(sv / (greatest(su, sv) / 1400)) AS BIGINT) + 1 AS height, n, (SELECT min(b) FROM (VALUES (0.5::DOUBLE), (1), (2), (5), (10), (20), (50)) t(b) WHERE b / (greatest(su, sv) / 1400) >= 60 AND b / (greatest(su, sv) / 1400) <= least(240, 0.4::DOUBLE * (CAST(floor(su / (greatest(su, sv) / 1400)) AS BIGINT) + 1))) AS bar_m FROM m WHERE n >= 200")
 def ortho_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CL.ortho_meta(_uvh(R.cloud(spark, sf_dir))).select(*((F.round(F.col(c) + float(SHIFT[d]), d) + 0.0).alias(c) for c, d in (("u0", 4), ("v0", 4), ("res", 6))), "width", "height", "n")
+    return CL.ortho_meta(_uvh(R.cloud(spark, sf_dir))).select(*((F.round(F.col(c) + float(SHIFT[d]), d) + 0.0).alias(c) for c, d in (("u0", 4), ("v0", 4), ("res", 6))), "width", "height", "n", CL.scale_bar(F.col("res"), F.col("width")).alias("bar_m"))
 
 
 @query(f"WITH {CLOUD}, lo AS (SELECT min(x) AS u0, min(y) AS v0 FROM cloud) SELECT count(DISTINCT (least(greatest(CAST(floor((y - v0) / 0.5) AS BIGINT), 0), 100), least(greatest(CAST(floor((x - u0) / 0.5) AS BIGINT), 0), 100))) AS covered FROM cloud, lo")
@@ -108,6 +108,11 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RG.ortho_split(cloud, POLY, R.RIM_INNER, R.RIM_OUTER).drop("u", "v")
 
 
+def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the region and its rim, written once for queries that read them several times."""
+    return materialize(_split(spark, sf_dir).where("interior OR rim").select("point_id", "x", "y", "z", "interior", "rim"))
+
+
 @query(f"WITH {CLOUD}, {MARKS} SELECT point_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, interior FROM split WHERE interior")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_split(spark, sf_dir).where("interior").select("point_id", "x", "y", "interior"))
@@ -147,11 +152,10 @@ def tls_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(FT.tls_plane(_split(spark, sf_dir).where("rim")).select("cx", "cy", "cz", "nx", "ny", "nz", "n"))
 
 
-def _over_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _over_plane(region: DataFrame) -> DataFrame:
     """Interior points with their height over the rim's plane; the plane is one row."""
-    split = _split(spark, sf_dir)
-    plane = FT.tls_plane(split.where("rim")).drop("n")
-    inside = split.where("interior").crossJoin(F.broadcast(plane))
+    plane = FT.tls_plane(region.where("rim")).drop("n")
+    inside = region.where("interior").crossJoin(F.broadcast(plane))
     h = (F.col("x") - F.col("cx")) * F.col("nx") + (F.col("y") - F.col("cy")) * F.col("ny") + (F.col("z") - F.col("cz")) * F.col("nz")
     return inside.select("point_id", "x", "y", "z", h.alias("h"))
 
@@ -161,7 +165,7 @@ OVER = f"{CLOUD}, {MARKS}, {PLANE}, over AS (SELECT point_id, x, y, z, (x - cx)
 
 @query(f"WITH {OVER} SELECT count(*) AS n, count(*) FILTER (WHERE h > 1.5) AS n_high, round(avg(h), 4) + 0.0 AS mean_h, round(min(h), 4) + 0.0 AS min_h, round(max(h), 4) + 0.0 AS max_h, round(sqrt(avg(h * h)), 4) + 0.0 AS rms, round(median(abs(h)), 4) + 0.0 AS median_abs, round(1.4826 * median(abs(h)), 4) + 0.0 AS mad_scale, round(quantile_cont(h, 0.01), 4) + 0.0 AS p1, round(quantile_cont(h, 0.99), 4) + 0.0 AS p99 FROM over")
 def signed_height_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _over_plane(spark, sf_dir)
+    h = _over_plane(_region(spark, sf_dir))
     mad = F.median(F.abs("h"))
     return rounded(h.agg(F.count("*").alias("n"), F.sum((F.col("h") > 1.5).cast("long")).alias("n_high"), F.avg("h").alias("mean_h"), F.min("h").alias("min_h"), F.max("h").alias("max_h"), F.sqrt(F.avg(F.col("h") * F.col("h"))).alias("rms"), mad.alias("median_abs"), (1.4826 * mad).alias("mad_scale"), F.percentile("h", F.lit(0.01)).alias("p1"), F.percentile("h", F.lit(0.99)).alias("p99")))
 
@@ -185,10 +189,12 @@ def msac_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def robust_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rim = _split(spark, sf_dir).where("rim").select("point_id", "x", "y", "z").cache()
+    """The robust plane of the rim, and how many of its points it keeps."""
+    rim = materialize(_split(spark, sf_dir).where("rim").select("point_id", "x", "y", "z"))
     plane, keep = FT.robust_plane(rim)
-    kept = rim.where(keep).count()
-    return spark.createDataFrame([(*map(float, plane.normal), kept, rim.count())], "nx double, ny double, nz double, n_kept long, n long")
+    kept = rim.agg(F.sum(keep.cast("long")), F.count("*")).first()
+    discard(rim)
+    return spark.createDataFrame([(*map(float, FT.upward(plane).normal), *kept)], "nx double, ny double, nz double, n_kept long, n long")
 
 
 # ---- surfaces --------------------------------------------------------------------------------------
@@ -196,23 +202,26 @@ def robust_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATTICE = f"{OVER}, lo AS (SELECT min(x) AS ux, min(y) AS vy FROM over), g AS (SELECT CAST(floor((y - vy) / 2.0) AS BIGINT) AS iy, CAST(floor((x - ux) / 2.0) AS BIGINT) AS ix, avg(h) AS h FROM over, lo GROUP BY ALL HAVING count(*) >= 3), sq AS (SELECT a.iy, a.ix, a.h AS ha, b.h AS hb, c.h AS hc, d.h AS hd FROM g a JOIN g b ON b.iy = a.iy AND b.ix = a.ix + 1 JOIN g c ON c.iy = a.iy + 1 AND c.ix = a.ix JOIN g d ON d.iy = a.iy + 1 AND d.ix = a.ix + 1), tri AS (SELECT 2.0::DOUBLE AS area, (ha + hb + hc) / 3 AS height FROM sq UNION ALL SELECT 2.0::DOUBLE, (hb + hd + hc) / 3 FROM sq)"
 
 
-def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = CL.grid_bin_mean(_over_plane(spark, sf_dir), 2.0, "h").select("iy", "ix", "h")
+def _lattice(region: DataFrame) -> DataFrame:
+    """Triangles of the lattice over the rim's plane; the lattice is written once."""
+    over = materialize(_over_plane(region).select("x", "y", "h"))
+    grid = materialize(CL.grid_bin_mean(over, 2.0, "h").select("iy", "ix", "h"))
+    discard(over)
     return SF.triangle_facts(SF.lattice_triangles(grid, 2.0))
 
 
 @query(f"WITH {LATTICE} SELECT round(coalesce(sum(-area * height) FILTER (WHERE height < 0), 0), 4) + 0.0 AS cut, round(coalesce(sum(area * height) FILTER (WHERE height > 0), 0), 4) + 0.0 AS fill, round(sum(area), 4) + 0.0 AS area, round(coalesce(sum(area * height) FILTER (WHERE height > 0), 0) - coalesce(sum(-area * height) FILTER (WHERE height < 0), 0), 4) + 0.0 AS net FROM tri")
 def lattice_cut_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(SF.cut_fill(_lattice(spark, sf_dir)))
+    return rounded(SF.cut_fill(_lattice(_region(spark, sf_dir))))
 
 
 @query(f"WITH {LATTICE}, s AS (SELECT sqrt(avg(((x - cx) * nx + (y - cy) * ny + (z - cz) * nz) * ((x - cx) * nx + (y - cy) * ny + (z - cz) * nz))) AS sigma FROM split, plane WHERE rim) SELECT round(sigma, 4) + 0.0 AS sigma, round(1.96 * greatest(sigma, 1e-6), 4) + 0.0 AS lod, round(coalesce(sum(area) FILTER (WHERE abs(height) > 1.96 * greatest(sigma, 1e-6)), 0) / sum(area), 4) + 0.0 AS sig_area_frac, round(sigma * sum(area), 4) + 0.0 AS est_error, round(sigma * sum(area) + 2 * 0.02::DOUBLE * abs(sum(area * height)), 4) + 0.0 AS est_error_scaled FROM tri, s GROUP BY sigma")
 def lod_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _split(spark, sf_dir)
-    rim = split.where("rim")
+    region = _region(spark, sf_dir)
+    rim = region.where("rim")
     h = (F.col("x") - F.col("cx")) * F.col("nx") + (F.col("y") - F.col("cy")) * F.col("ny") + (F.col("z") - F.col("cz")) * F.col("nz")
     sigma = rim.crossJoin(F.broadcast(FT.tls_plane(rim).drop("n"))).agg(F.sqrt(F.avg(h * h)).alias("sigma"))
-    facts = _lattice(spark, sf_dir).crossJoin(F.broadcast(sigma))
+    facts = _lattice(region).crossJoin(F.broadcast(sigma))
     lod = G.level_of_detection(F.col("sigma"))
     area = F.sum("area")
     out = facts.groupBy("sigma").agg(area.alias("area"), F.sum(F.when(F.abs("height") > lod, F.col("area")).otherwise(0.0)).alias("sig"), F.sum("volume").alias("net"))
@@ -234,39 +243,63 @@ def slope_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prism_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the voxels of the whole cloud, as dense clouds are fused before they are measured: the triangulated points grow with the region, not with the rows."""
-    cloud = R.voxels(spark, sf_dir).withColumns({"u": F.col("x"), "v": F.col("y")})
-    split = materialize(RG.ortho_split(cloud, POLY, R.RIM_INNER, R.RIM_OUTER).drop("u", "v"))
-    return SF.prism_volume(split.where("interior"), split.where("rim"), (0.0, 0.0, 1.0))
+    """The measurement over every position of the cloud."""
+    region = _region(spark, sf_dir)
+    return SF.prism_volume(region.where("interior"), region.where("rim"), (0.0, 0.0, 1.0))
+
+
+# ---- neighbours: the SQL looks in 27 cells of 3 m, which hold the nearest 16 of every point of these clouds --------
 
 
-# ---- neighbours ------------------------------------------------------------------------------------
+def near_sql(queries: str, targets: str, others: bool) -> str:
+    """pairs (p, q, d, x, y, z): each point p of `queries` with the points q around it."""
+    cells = "floor(x / 3.0::DOUBLE) AS cx, floor(y / 3.0::DOUBLE) AS cy, floor(z / 3.0::DOUBLE) AS cz"
+    return f"""tc AS (SELECT point_id, x, y, z, {cells} FROM {targets}),
+qc AS (SELECT point_id, x, y, z, cx + i AS cx, cy + j AS cy, cz + k AS cz FROM (SELECT point_id, x, y, z, {cells} FROM {queries}), (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j), (VALUES (-1), (0), (1)) c(k)),
+pairs AS (SELECT a.point_id AS p, b.point_id AS q, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, b.x, b.y, b.z FROM qc a JOIN tc b ON a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz{" WHERE a.point_id <> b.point_id" if others else ""})"""
 
-NEAR = "pairs AS (SELECT a.point_id AS p, b.point_id AS q, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM vox a, vox b WHERE a.point_id <> b.point_id)"
 
+def normals_sql(k: int) -> str:
+    """normals (p, ax, ay, az: the longest eigenvector candidate, l: its squared length) of the k nearest of pairs."""
+    return f"""nb AS (SELECT p, unnest(arg_min({{'x': x, 'y': y, 'z': z}}, d, {k})) AS t FROM pairs GROUP BY p),
+cv AS (SELECT p, covar_pop(t.x, t.x) AS xx, covar_pop(t.x, t.y) AS xy, covar_pop(t.x, t.z) AS xz, covar_pop(t.y, t.y) AS yy, covar_pop(t.y, t.z) AS yz, covar_pop(t.z, t.z) AS zz FROM nb GROUP BY p),
+v1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cv),
+v2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s, (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz) AS det FROM v1),
+v3 AS (SELECT *, q + 2 * s * cos(acos(least(greatest(det / (2 * s * s * s), -1), 1)) / 3 + 2.0943951023931953::DOUBLE) AS low FROM v2),
+v4 AS (SELECT p, xy * yz - xz * (yy - low) AS ax, xz * xy - (xx - low) * yz AS ay, (xx - low) * (yy - low) - xy * xy AS az, (xx - low) * yz - xy * xz AS bz, xz * xz - (xx - low) * (zz - low) AS by_, xy * (zz - low) - yz * xz AS bx, (yy - low) * (zz - low) - yz * yz AS cx, yz * xz - xy * (zz - low) AS cy, xy * yz - (yy - low) * xz AS cz FROM v3),
+normals AS (SELECT p, CASE WHEN a2 >= b2 AND a2 >= c2 THEN abs(az) / sqrt(a2) WHEN b2 >= c2 THEN abs(bz) / sqrt(b2) ELSE abs(cz) / sqrt(c2) END AS up FROM (SELECT *, ax * ax + ay * ay + az * az AS a2, bx * bx + by_ * by_ + bz * bz AS b2, cx * cx + cy * cy + cz * cz AS c2 FROM v4))"""
 
-@query(f"WITH {CLOUD}, {VOX}, {NEAR} SELECT round(median(d), 4) + 0.0 AS spacing FROM (SELECT p, min(d) AS d FROM pairs GROUP BY p)")
+
+@query(f"WITH {CLOUD}, {near_sql('cloud', 'cloud', True)} SELECT round(median(d), 4) + 0.0 AS spacing FROM (SELECT p, min(d) AS d FROM pairs GROUP BY p)")
 def nn_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(KN.spacing(R.voxels(spark, sf_dir), 1.0))
+    return rounded(KN.spacing(R.cloud(spark, sf_dir)))
 
 
-@query(f"WITH {CLOUD}, {VOX}, {NEAR}, k AS (SELECT p, avg(d) AS mean_d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, q) AS rn FROM pairs) WHERE rn <= 10 GROUP BY p), lim AS (SELECT avg(mean_d) + 2 * stddev_pop(mean_d) AS lim FROM k) SELECT p AS point_id, round(mean_d, 4) + 0.0 AS mean_d FROM k, lim WHERE mean_d <= lim")
+@query(f"WITH {CLOUD}, {near_sql('cloud', 'cloud', True)}, k AS (SELECT p, list_avg(min(d, 10)) AS mean_d FROM pairs GROUP BY p), lim AS (SELECT avg(mean_d) + 2 * stddev_pop(mean_d) AS lim FROM k) SELECT p AS point_id, round(mean_d, 4) + 0.0 AS mean_d FROM k, lim WHERE mean_d <= lim")
 def sor_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = KN.outlier_stats(R.voxels(spark, sf_dir), 10, 2.0)
-    limit = stats.agg((F.avg("mean_d") + 2 * F.stddev_pop("mean_d")).alias("lim"))
+    stats = materialize(KN.outlier_stats(R.cloud(spark, sf_dir), 10))
+    limit = stats.agg((F.avg("mean_d") + 2 * F.stddev_pop("mean_d")).alias("lim"))  # one row
     return rounded(stats.crossJoin(F.broadcast(limit)).where("mean_d <= lim").select("point_id", "mean_d"))
 
 
-@query(f"WITH {CLOUD}, {VOX}, sp AS (SELECT * FROM vox WHERE point_id % 17 = 0) SELECT v.point_id, round(v.x, 4) + 0.0 AS x FROM vox v WHERE EXISTS (SELECT 1 FROM sp WHERE sqrt((v.x - sp.x) * (v.x - sp.x) + (v.y - sp.y) * (v.y - sp.y) + (v.z - sp.z) * (v.z - sp.z)) <= 1.5)")
+@query(f"WITH {CLOUD}, sp AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cloud GROUP BY floor(x / 2), floor(y / 2), floor(z / 2)), sc AS (SELECT *, floor(x / 0.75::DOUBLE) AS cx, floor(y / 0.75::DOUBLE) AS cy, floor(z / 0.75::DOUBLE) AS cz FROM sp), c27 AS (SELECT point_id, x, y, z, floor(x / 0.75::DOUBLE) + i AS cx, floor(y / 0.75::DOUBLE) + j AS cy, floor(z / 0.75::DOUBLE) + k AS cz FROM cloud, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j), (VALUES (-1), (0), (1)) c(k)) SELECT DISTINCT v.point_id, round(v.x, 4) + 0.0 AS x FROM c27 v JOIN sc s ON v.cx = s.cx AND v.cy = s.cy AND v.cz = s.cz WHERE sqrt((v.x - s.x) * (v.x - s.x) + (v.y - s.y) * (v.y - s.y) + (v.z - s.z) * (v.z - s.z)) <= 0.75::DOUBLE")
 def support_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = R.voxels(spark, sf_dir)
-    return rounded(KN.support_filter(v, v.where("point_id % 17 = 0"), 1.5).select("point_id", "x"))
+    """The points that a sparse cloud (the voxels of 2 m) supports."""
+    cloud = R.cloud(spark, sf_dir).select("point_id", "x", "y", "z")
+    return rounded(KN.support_filter(cloud, CL.voxel_downsample(cloud, 2.0), 0.75).select("point_id", "x"))
 
 
-@query(f"WITH {CLOUD}, {VOX}, near AS (SELECT p, q FROM (SELECT a.point_id AS p, b.point_id AS q, row_number() OVER (PARTITION BY a.point_id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), b.point_id) AS rn FROM vox a, vox b) WHERE rn <= 16), c AS (SELECT p, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM near JOIN vox ON q = point_id GROUP BY p), e1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), e2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s, (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz) AS det FROM e1), e3 AS (SELECT *, q + 2 * s * cos(acos(least(greatest(det / (2 * s * s * s), -1), 1)) / 3 + 2.0943951023931953::DOUBLE) AS low FROM e2), e4 AS (SELECT p, xy * yz - xz * (yy - low) AS ax, xz * xy - (xx - low) * yz AS ay, (xx - low) * (yy - low) - xy * xy AS az, (xx - low) * yz - xy * xz AS bz, xz * xz - (xx - low) * (zz - low) AS by_, xy * (zz - low) - yz * xz AS bx, (yy - low) * (zz - low) - yz * yz AS cx, yz * xz - xy * (zz - low) AS cy, xy * yz - (yy - low) * xz AS cz FROM e3), e5 AS (SELECT p, CASE WHEN a2 >= b2 AND a2 >= c2 THEN abs(az) / sqrt(a2) WHEN b2 >= c2 THEN abs(bz) / sqrt(b2) ELSE abs(cz) / sqrt(c2) END AS up FROM (SELECT *, ax * ax + ay * ay + az * az AS a2, bx * bx + by_ * by_ + bz * bz AS b2, cx * cx + cy * cy + cz * cz AS c2 FROM e4)) SELECT p AS point_id, round(up, 4) + 0.0 AS up FROM e5")
+@query(f"WITH {CLOUD}, {near_sql('cloud', 'cloud', False)}, {normals_sql(16)} SELECT p AS point_id, round(up, 4) + 0.0 AS up FROM normals")
 def local_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = R.voxels(spark, sf_dir)
-    return rounded(KN.neighbour_normals(v, v, 16, 2.0).select("point_id", F.abs("nz").alias("up")))
+    c = R.cloud(spark, sf_dir)
+    return rounded(KN.neighbour_normals(c, c, 16).select("point_id", F.abs("nz").alias("up")))
+
+
+@query(f"WITH {CLOUD}, {MARKS}, rimp AS (SELECT point_id, x, y, z FROM split WHERE rim), both_ AS (SELECT point_id, x, y, z FROM split WHERE rim OR interior), {near_sql('rimp', 'both_', False)}, {normals_sql(10)} SELECT p AS point_id FROM normals WHERE CAST(up AS FLOAT) < 0.9975::FLOAT")
+def steep_rim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rim points whose ground leans by more than some 4 degrees."""
+    region = _region(spark, sf_dir)
+    return SF.steep_rim(region.where("rim"), region.where("interior"), (0.0, 0.0, 1.0), 0.9975)
 
 
 # ---- graph -----------------------------------------------------------------------------------------
@@ -289,20 +322,20 @@ def top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.top_neighbours(GR.covisibility(R.tracks(spark, sf_dir)), 3)
 
 
-DEPTH = "dep AS (SELECT image_id, median(d) AS dm FROM (SELECT image_id, r[7] * x + r[8] * y + r[9] * z + t[3] AS d FROM vox, views) WHERE d > 0 GROUP BY image_id HAVING count(*) >= 20)"
+DEPTH = "dep AS (SELECT image_id, median(d) AS dm FROM (SELECT image_id, views.r[7] * x + views.r[8] * y + views.r[9] * z + t[3] AS d FROM cloud, views) WHERE d > 0 GROUP BY image_id HAVING count(*) >= 20)"
 
 
-@query(f"WITH {CLOUD}, {VOX}, {VIEWS}, {DEPTH} SELECT image_id, round(dm, 4) + 0.0 AS median_depth FROM dep")
+@query(f"WITH {CLOUD}, {VIEWS}, {DEPTH} SELECT image_id, round(dm, 4) + 0.0 AS median_depth FROM dep")
 def median_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(GR.median_depths(R.voxels(spark, sf_dir), R.views(spark, sf_dir)))
+    return rounded(GR.median_depths(R.cloud(spark, sf_dir), R.views(spark, sf_dir)))
 
 
-BASE = f"{CLOUD}, {VOX}, {VIEWS}, {TRACKS}, {COVIS}, {DEPTH}, ctr AS (SELECT image_id, -(r[1] * t[1] + r[4] * t[2] + r[7] * t[3]) AS x, -(r[2] * t[1] + r[5] * t[2] + r[8] * t[3]) AS y, -(r[3] * t[1] + r[6] * t[2] + r[9] * t[3]) AS z FROM views), base AS (SELECT a, b, shared, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS baseline, coalesce(da.dm, db.dm) AS dm FROM covis JOIN ctr p ON p.image_id = a JOIN ctr q ON q.image_id = b LEFT JOIN dep da ON da.image_id = a LEFT JOIN dep db ON db.image_id = b WHERE shared >= 2)"
+BASE = f"{CLOUD}, {VIEWS}, {TRACKS}, {COVIS}, {DEPTH}, ctr AS (SELECT image_id, -(r[1] * t[1] + r[4] * t[2] + r[7] * t[3]) AS x, -(r[2] * t[1] + r[5] * t[2] + r[8] * t[3]) AS y, -(r[3] * t[1] + r[6] * t[2] + r[9] * t[3]) AS z FROM views), base AS (SELECT a, b, shared, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS baseline, coalesce(da.dm, db.dm) AS dm FROM covis JOIN ctr p ON p.image_id = a JOIN ctr q ON q.image_id = b LEFT JOIN dep da ON da.image_id = a LEFT JOIN dep db ON db.image_id = b WHERE shared >= 2)"
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = R.views(spark, sf_dir)
-    return GR.baseline_pairs(GR.covisibility(R.tracks(spark, sf_dir)), views, GR.median_depths(R.voxels(spark, sf_dir), views), least=2)
+    return GR.baseline_pairs(GR.covisibility(R.tracks(spark, sf_dir)), views, GR.median_depths(R.cloud(spark, sf_dir), views), least=2)
 
 
 @query(f"WITH {BASE} SELECT a, b, shared, round(baseline, 4) + 0.0 AS baseline, round(dm, 4) + 0.0 AS median_depth FROM base WHERE baseline >= 0.1 * dm AND baseline <= 1.5 * dm")
@@ -310,28 +343,29 @@ def baseline_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_base(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {BASE}, p AS (SELECT a, b, shared, row_number() OVER (ORDER BY shared DESC, a, b) AS rn FROM base WHERE baseline >= 0.1 * dm AND baseline <= 1.5 * dm), g AS (SELECT 0 AS step, 0::BIGINT AS rn, []::BIGINT[] AS used UNION ALL SELECT any_value(g.step) + 1, min(p.rn), list_concat(any_value(g.used), [arg_min(p.a, p.rn), arg_min(p.b, p.rn)]) FROM g, p WHERE p.rn > g.rn AND g.step < 30 AND len(list_filter(g.used, lambda u: u = p.a)) < 2 AND len(list_filter(g.used, lambda u: u = p.b)) < 2 HAVING count(*) > 0) SELECT 0 AS recon_id, p.a, p.b, p.shared FROM g JOIN p ON p.rn = g.rn")
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.greedy_pairs(_base(spark, sf_dir).withColumn("recon_id", F.lit(0)).select("recon_id", "a", "b", "shared"))
 
 
 # ---- cameras ---------------------------------------------------------------------------------------
 
-PROJECT = "q AS (SELECT point_id, image_id, (x + t[1]) AS cx, (-z + t[2]) AS cy, (y + t[3]) AS cz FROM vox, views WHERE image_id < 20), n AS (SELECT *, cx / nullif(cz, 0) AS a, cy / nullif(cz, 0) AS b FROM q), w AS (SELECT *, a * a + b * b AS r2 FROM n), uv AS (SELECT *, 800 * (a * (1 + r2 * (0.05::DOUBLE + r2 * (-0.01::DOUBLE + r2 * 0.003::DOUBLE))) + 2 * 0.001::DOUBLE * a * b + -0.002::DOUBLE * (r2 + 2 * a * a)) + 320 AS u, 800 * (b * (1 + r2 * (0.05::DOUBLE + r2 * (-0.01::DOUBLE + r2 * 0.003::DOUBLE))) + 0.001::DOUBLE * (r2 + 2 * b * b) + 2 * -0.002::DOUBLE * a * b) + 240 AS v FROM w)"
+#: Every line item is an observation of its position by the camera of its supplier.
+PROJECT = "q AS (SELECT point_id, image_id, (x + t[1]) AS cx, (-z + t[2]) AS cy, (y + t[3]) AS cz FROM cloud JOIN views ON pair_id = image_id), n AS (SELECT *, cx / nullif(cz, 0) AS a, cy / nullif(cz, 0) AS b FROM q), w AS (SELECT *, a * a + b * b AS r2 FROM n), uv AS (SELECT *, 800 * (a * (1 + r2 * (0.05::DOUBLE + r2 * (-0.01::DOUBLE + r2 * 0.003::DOUBLE))) + 2 * 0.001::DOUBLE * a * b + -0.002::DOUBLE * (r2 + 2 * a * a)) + 320 AS u, 800 * (b * (1 + r2 * (0.05::DOUBLE + r2 * (-0.01::DOUBLE + r2 * 0.003::DOUBLE))) + 0.001::DOUBLE * (r2 + 2 * b * b) + 2 * -0.002::DOUBLE * a * b) + 240 AS v FROM w)"
 
 
 def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = R.views(spark, sf_dir).where("image_id < 20")  # the first twenty cameras look on; a view table is small
     u, v, d = G.project([F.col(a) for a in "xyz"], "r", "t", "k", "dist")
-    return R.voxels(spark, sf_dir).crossJoin(F.broadcast(views)).select("point_id", "image_id", u.alias("u"), v.alias("v"), d.alias("depth"))
+    seen = R.cloud(spark, sf_dir).select("point_id", F.col("pair_id").alias("image_id"), "x", "y", "z").join(R.views(spark, sf_dir), "image_id")
+    return seen.select("point_id", "image_id", u.alias("u"), v.alias("v"), d.alias("depth"))
 
 
-@query(f"WITH {CLOUD}, {VOX}, {VIEWS}, {PROJECT} SELECT point_id, image_id, round(u, 3) + 0.0 AS u, round(v, 3) + 0.0 AS v, round(cz, 3) + 0.0 AS depth FROM uv")
+@query(f"WITH {CLOUD}, {VIEWS}, {PROJECT} SELECT point_id, image_id, round(u, 3) + 0.0 AS u, round(v, 3) + 0.0 AS v, round(cz, 3) + 0.0 AS depth FROM uv")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_projected(spark, sf_dir), 3)
 
 
-@query(f"WITH {CLOUD}, {VOX}, {VIEWS}, {PROJECT}, e AS (SELECT image_id, sqrt(pow(u - round(u / 4) * 4, 2) + pow(v - round(v / 4) * 4, 2)) AS e FROM uv) SELECT image_id, round(avg(e), 3) + 0.0 AS mean_px, round(max(e), 3) + 0.0 AS max_px, count(*) AS n FROM e GROUP BY image_id")
+@query(f"WITH {CLOUD}, {VIEWS}, {PROJECT}, e AS (SELECT image_id, sqrt(pow(u - round(u / 4) * 4, 2) + pow(v - round(v / 4) * 4, 2)) AS e FROM uv) SELECT image_id, round(avg(e), 3) + 0.0 AS mean_px, round(max(e), 3) + 0.0 AS max_px, count(*) AS n FROM e GROUP BY image_id")
 def reprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _projected(spark, sf_dir)
     e = G.residual(F.col("u"), F.col("v"), F.round(F.col("u") / 4) * 4, F.round(F.col("v") / 4) * 4)
@@ -366,7 +400,7 @@ def best_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LATTICE}, tot AS (SELECT coalesce(sum(-area * height) FILTER (WHERE height < 0), 0) AS cut, sum(area * height) AS net FROM tri) SELECT f AS factor, round(cut * f, 4) + 0.0 AS loose_cut, round(abs(net) * f, 4) + 0.0 AS loose_net FROM tot, (VALUES (1.0::DOUBLE), (1.2::DOUBLE), (1.25::DOUBLE), (1.4::DOUBLE)) t(f) WHERE f > 1")
 def swell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(SC.swell(SF.cut_fill(_lattice(spark, sf_dir))).select("factor", "loose_cut", "loose_net"))
+    return rounded(SC.swell(SF.cut_fill(_lattice(_region(spark, sf_dir)))).select("factor", "loose_cut", "loose_net"))
 
 
 # ---- attempts, keypoints, photos -------------------------------------------------------------------
@@ -398,7 +432,11 @@ def exposure_blur_cull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PH.exposure_blur(R.photos(spark, sf_dir), ("recon_id",)).select("seq", "recon_id", "reason")
 
 
-@query()
+#: The fold over the frames of a set in order, three of a set at least kept.
+FOLD = f"{CULL}, r1 AS (SELECT seq, recon_id, lap, clipped, dhash, CASE WHEN fail AND rk <= floor(n / 2) THEN 'blurry' WHEN clipped >= 0.5 THEN 'over/under-exposed' WHEN NOT fail AND soft THEN 'blurry' END AS reason FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY recon_id ORDER BY seq) AS rn FROM r1 WHERE reason IS NULL), fold AS (SELECT recon_id, rn, seq AS kept, lap, dhash, NULL::BIGINT AS gone FROM o WHERE rn = 1 UNION ALL SELECT o.recon_id, o.rn, CASE WHEN near AND o.lap <= f.lap THEN f.kept ELSE o.seq END, CASE WHEN near AND o.lap <= f.lap THEN f.lap ELSE o.lap END, CASE WHEN near AND o.lap <= f.lap THEN f.dhash ELSE o.dhash END, CASE WHEN near THEN CASE WHEN o.lap <= f.lap THEN o.seq ELSE f.kept END END FROM fold f JOIN (SELECT * FROM o) o ON o.recon_id = f.recon_id AND o.rn = f.rn + 1, LATERAL (SELECT bit_count(xor(o.dhash, f.dhash)) <= 3 AS near)), r2 AS (SELECT r1.seq, r1.recon_id, clipped, lap, CASE WHEN d.gone IS NOT NULL THEN 'near-duplicate' ELSE reason END AS reason FROM r1 LEFT JOIN (SELECT DISTINCT recon_id, gone FROM fold WHERE gone IS NOT NULL) d ON d.recon_id = r1.recon_id AND d.gone = r1.seq), culled AS (SELECT seq, recon_id, reason, reason IS NOT NULL AND NOT (count(*) FILTER (WHERE reason IS NULL) OVER (PARTITION BY recon_id) < 3 AND row_number() OVER (PARTITION BY recon_id ORDER BY clipped, lap DESC, seq) <= 3) AS dropped FROM r2)"
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT seq, recon_id, reason, dropped FROM culled")
 def near_dup_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PH.cull(R.photos(spark, sf_dir), ("recon_id",)).select("seq", "recon_id", "reason", "dropped")
 
@@ -417,18 +455,24 @@ def photo_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(PH.sharpness(px).join(clipped, "name").withColumnRenamed("name", "vec_id"), 6)
 
 
+@query(f"WITH RECURSIVE {FOLD} SELECT reason, count(*) AS n, min(seq) AS first_seq FROM culled WHERE reason IS NOT NULL GROUP BY reason")
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PH.reason_counts(PH.cull(R.photos(spark, sf_dir), ("recon_id",)))
+
+
 # ---- segmentation responses ------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT event_id, round(0.2::DOUBLE + (user_id % 8) / 10.0::DOUBLE, 2) AS confidence, value * 2 * user_id * 3 AS area FROM events) SELECT event_id, 'area' AS class, confidence, round(area, 1) + 0.0 AS area_px FROM r WHERE confidence >= 0.35 AND area >= 100")
+@query("WITH r AS (SELECT event_id, k, round(0.2::DOUBLE + (user_id % 8) / 10.0::DOUBLE, 2) AS confidence, value * 2 * user_id * 3 * k AS area FROM events, (VALUES (1), (2)) s(k)) SELECT event_id, 'area' AS class, confidence, round(area, 1) + 0.0 AS area_px, CAST(row_number() OVER (PARTITION BY event_id ORDER BY area DESC, k) AS INTEGER) AS rank FROM r WHERE confidence >= 0.35 AND area >= 100")
 def regions_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = R.read(spark, sf_dir, "events")
-    pt = lambda x, y: F.struct(x.cast("string").alias("x"), y.cast("string").alias("y"))
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero, v, u = F.lit(0.0), F.col("value"), F.col("user_id")
-    good = F.struct(F.lit("area").alias("class"), F.round(F.lit(0.2) + (u % 8) / F.lit(10.0), 2).cast("string").alias("confidence"), F.array(pt(zero, zero), pt(v, zero), pt(v, u.cast("double")), pt(zero, u.cast("double"))).alias("points"))
-    bad = F.struct(F.lit("bad").alias("class"), F.lit("x").alias("confidence"), F.array().cast("array<struct<x:string,y:string>>").alias("points"))
-    body = e.select("event_id", F.to_json(F.struct(F.array(good, bad).alias("predictions"))).alias("body"))
-    return SG.parse_polygons(body, "body", 2.0, 3.0).select("event_id", "class", "confidence", "area_px")
+    box = lambda k: F.array(pt(zero, zero), pt(v * k, zero), pt(v * k, u.cast("double")), pt(zero, u.cast("double")))
+    good = lambda k: F.struct(F.lit("area").alias("class"), F.round(F.lit(0.2) + (u % 8) / F.lit(10.0), 2).cast("string").alias("confidence"), box(k).alias("points"))
+    bad = F.struct(F.lit("bad").alias("class"), F.lit("x").alias("confidence"), F.array().cast("array<struct<x:double,y:double>>").alias("points"))
+    body = e.select("event_id", F.to_json(F.struct(F.array(good(1), bad, good(2)).alias("predictions"))).alias("body"))
+    return SG.parse_polygons(body, "body", 2.0, 3.0).select("event_id", "class", "confidence", "area_px", "rank")
 
 
 @query("SELECT event_id, CASE WHEN lower(event_type) LIKE '%click%' THEN CAST(user_id AS INTEGER) ELSE 1 END AS class_id FROM events")

@@ -21,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 CLOUD_SQL = """
-SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS point_id,
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS point_id,
        l_suppkey AS pair_id, x, y,
        0.05::DOUBLE * x - CASE WHEN sqrt(x * x + y * y) < 18.0::DOUBLE THEN 3.0::DOUBLE * (1.0::DOUBLE + cos(pi() * sqrt(x * x + y * y) / 18.0::DOUBLE)) ELSE 0.0::DOUBLE END
          + (l_discount - 0.05::DOUBLE) * 0.2::DOUBLE AS z,
@@ -36,25 +36,10 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").withColumn("x", F.col("l_quantity") - d(25.5) + (F.col("l_tax") - d(0.04)) * d(10)).withColumn("y", F.col("l_extendedprice") / d(2100) - d(25))
     rad = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     bowl = F.when(rad < BOWL_R, d(3) * (d(1) + F.cos(F.pi() * rad / d(BOWL_R)))).otherwise(d(0))
-    pid = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    pid = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("long")
     return li.select(pid.alias("point_id"), F.col("l_suppkey").alias("pair_id"), "x", "y", (d(0.05) * F.col("x") - bowl + (F.col("l_discount") - d(0.05)) * d(0.2)).alias("z"), *((F.col(c) % 256).cast("short").alias(a) for a, c in (("r", "l_orderkey"), ("g", "l_partkey"), ("b", "l_suppkey"))))
 
 
-VOXELS_SQL = """
-SELECT (vx + 1000) * 1000000 + (vy + 1000) * 1000 + (vz + 100) AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z
-FROM (SELECT *, CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz FROM cloud) GROUP BY vx, vy, vz
-"""
-
-
-def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cloud in voxels of one metre, numbered by voxel, positions rounded to a micrometre so that ties and orders do not hang on the order of summation."""
-    from terravane.operators.cloud import voxel_downsample
-
-    v = voxel_downsample(cloud(spark, sf_dir), 1.0)
-    pid = (F.col("vx") + 1000) * 1000000 + (F.col("vy") + 1000) * 1000 + (F.col("vz") + 100)
-    return v.select(pid.alias("point_id"), *(F.round(F.col(a) + 1.23e-9, 6).alias(a) for a in "xyz"))
-
-
 TRACKS_SQL = """
 SELECT l_orderkey AS point3d_id, l_suppkey AS image_id, ((CAST(l_linenumber AS BIGINT) * 100000 + l_partkey) * 1000 + CAST(l_quantity AS BIGINT)) AS elem_idx FROM lineitem
 """

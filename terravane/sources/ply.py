@@ -1,17 +1,18 @@
-"""PLY clouds (binary little endian: x, y, z as float32, then red, green, blue as bytes) as a Spark data source.
+"""PLY clouds (binary little endian: x, y, z as float32, then red, green, blue as bytes) on any file system that Spark reads.
 
-Reading: one partition a file. Writing: one file a partition (part-NNNNN.ply), so that a large cloud is
-written in parallel; coalesce(1) gives a single file.
+Reading goes through Spark's binaryFile source, one row a file. Writing packs the points on the executors; the driver streams
+the packed pieces, one partition at a time, into a single file through Hadoop's file system, under a temporary name that is
+renamed at the end, so that a failed write leaves no file.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
 import numpy as np
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terravane.session import ship
 
 RECORD = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
 SCHEMA = "x float, y float, z float, r short, g short, b short"
@@ -22,72 +23,52 @@ def header(n: int) -> bytes:
     return "\n".join(lines).encode()
 
 
-def to_bytes(rows: list[tuple]) -> bytes:
-    return header(len(rows)) + np.array(rows, RECORD).tobytes()
-
-
 def from_bytes(data: bytes) -> np.ndarray:
     end = data.index(b"end_header\n") + len(b"end_header\n")
     n = next(int(x.split()[2]) for x in data[:end].splitlines() if x.startswith(b"element vertex"))
     return np.frombuffer(data, RECORD, n, end)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[_File]:
-        if os.path.isdir(self.path):
-            return [_File(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".ply")]
-        return [_File(self.path)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            for p in from_bytes(f.read()):
-                yield tuple(x.item() for x in p)
-
-
-class _Writer(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        os.makedirs(self.path, exist_ok=True)
-        data = [tuple(r[c] for c in RECORD.names) for r in rows]
-        if data:
-            target = os.path.join(self.path, f"part-{task:05d}.ply")
-            with open(f"{target}.tmp{TaskContext.get().attemptNumber()}", "wb") as f:
-                f.write(to_bytes(data))
-            os.replace(f.name, target)  # a retried task writes the same file
-        return WriterCommitMessage()
-
-
-class PlyDataSource(DataSource):
-    """spark.read.format("ply").load(path) and df.write.format("ply").mode("append").save(folder)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "ply"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options["path"])
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
-        return _Writer(self.options["path"])
-
-
-def register(spark: SparkSession) -> None:
-    from terravane.session import ship
-
-    ship(spark).dataSource.register(PlyDataSource)
+def read_ply(spark: SparkSession, path: str) -> DataFrame:
+    """The points of a file, or of all .ply files of a folder."""
+    ship(spark)
+
+    def run(batch: pa.RecordBatch):  # noqa: ANN202
+        for i in range(batch.num_rows):
+            p = from_bytes(batch.column(0)[i].as_py())
+            for k in range(0, len(p), 50_000):
+                q = p[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(q[c]) if c in "xyz" else q[c].astype(np.int16)) for c in RECORD.names], list(RECORD.names))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path).select("content")
+    return files.mapInArrow(lambda batches: (out for batch in batches for out in run(batch)), SCHEMA)
+
+
+def write_ply(points: DataFrame, path: str) -> int:
+    """Write (x, y, z, r, g, b) as one file; the number of points. Rows without a position are left out, missing colours are gray."""
+    spark = ship(points.sparkSession)
+    whole = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(*(F.col(a).cast("float") for a in "xyz"), *(F.coalesce(F.col(c), F.lit(128)).cast("short").alias(c) for c in "rgb"))
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = np.empty(batch.num_rows, RECORD)
+        for k, c in enumerate(RECORD.names):
+            out[c] = batch.column(k).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["data", "n"])
+
+    n = whole.count()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    unfinished = spark._jvm.org.apache.hadoop.fs.Path(f"{path}._writing")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(unfinished, True)
+    try:
+        out.write(bytearray(header(n)))
+        for r in whole.mapInArrow(lambda batches: map(pack, batches), "data binary, n long").toLocalIterator():
+            out.write(bytearray(r["data"]))
+        out.close()
+        fs.delete(target, False)
+        fs.rename(unfinished, target)
+    except Exception:
+        out.close()
+        fs.delete(unfinished, False)
+        raise
+    return n
