@@ -6,15 +6,20 @@ from conftest import SF, same
 
 from terravane.functions.eigen import with_smallest
 from terravane.operators.delaunay import delaunay
-from terravane.plans import catalogue
+from terravane.plans import registry
 
-#: Long iterations, covered at sf0.01 by the driver.
-SLOW = {"lod_significance", "lattice_cut_fill", "swell"}
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_equals_sql(spark, name):
+    same([r.asDict() for r in registry.QUERIES[name](spark, SF).collect()], registry.SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW))
-def test_query_equals_sql(spark, name):
-    same([r.asDict() for r in catalogue.QUERIES[name](spark, SF).collect()], catalogue.SQL[name], SF)
+def test_measured_bowl(spark):
+    """The query over all positions against the bowl's volume, depth * pi * R^2 * (1/2 - 2/pi^2)."""
+    truth = 6 * np.pi * 18**2 * (0.5 - 2 / np.pi**2)
+    r = registry.QUERIES["prism_volume"](spark, SF).first()
+    assert abs(r["cut_volume_m3"] - truth) < 0.01 * truth and r["fill_volume_m3"] < 0.01 * truth and r["datum"] == "rim_plane"
+    p = registry.QUERIES["robust_plane"](spark, SF).first()
+    assert abs(p["nx"] / p["nz"] + 0.05) < 1e-3 and p["n_kept"] > 0.9 * p["n"]
 
 
 def test_smallest_eigenvector(spark):
