@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step is a grouped minimum and a join on the same key; both sides of the joins are dealt by Spark, so
-that adaptive execution splits the rows of a hub. Each round is written to the shared folder.
+that adaptive execution splits the rows of a hub. Each round is written to the shared folder, and the one before it deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.session import materialize
+from terravane.session import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state[0] == 0 or state == mark:
             break
-        mark = state
-        now = materialize(_small(_large(now)))
+        mark, old = state, now
+        now = materialize(_small(_large(old)))
+        discard(old)
     # Converged: every node but the smallest of its component points to that one.
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
