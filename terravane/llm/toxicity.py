@@ -1,42 +1,47 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens and their beginnings (4 to 8 bytes, for inflected and compound forms) get log-odds between toxic and
-clean labelled texts, each counted once a text, under an informative Dirichlet prior, whose weights are
-their frequencies in all documents. A token scores the best significant log-odds among itself and its
-beginnings; every other token scores MISS. A linear-time scan finds all maximal scoring segments of a text. The
-Karlin-Altschul parameters (lambda from the token scores of all documents, K from clean labelled
+clean labelled texts under an informative Dirichlet prior. A text counts each of its tokens once; a beginning has the counts of
+all its tokens; the prior's weights are the shares of occurrences in all documents. A token scores the best significant
+log-odds among itself and its beginnings; every other token scores MISS. A linear-time scan finds all maximal scoring
+segments of a text. The Karlin-Altschul parameters (lambda from the token scores of all documents, K from clean labelled
 texts) turn a segment score into an extreme-value E-value; segments with E <= SIGNIFICANT are toxic
-passages, and a logistic curve over their summed evidence gives the score.
+passages, and a logistic curve over the evidence of the segments alone gives the score.
 
 Labels of the held-out fold (crc32 of the id modulo 3 is 1) are never read. Log-odds come from at most
-training.SAMPLE labelled rows, for all tokens in LEAST or more of their toxic texts; frequencies cover all
-documents; whole texts are scanned.
+training.SAMPLE labelled rows, for every token that a toxic one of them holds; occurrences are counted in all documents and
+stay distributed; whole texts are scanned.
 
 Defined results: null text counts as empty; a text without a scoring token has the lowest score of the
-curve; without labels of both kinds every score is 0; rows with null doc_id are scored and not held out.
+curve; without labels of both kinds every score is 0; rows with null doc_id are scored and not held out; repeated rows
+and texts of equal evidence get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm.common import id_text, map_batches, table
 from terravane.llm.training import SAMPLE, held_out, sample_texts, training_labels
-from terravane.session import materialize
+from terravane.session import discard, materialize, ship
 
 FOLDS, FOLD = 3, 1
 CUT = 0.7
 MISS = -0.25
 Z = 4.5
 PRIOR = 1000.0
-LEAST = 5
 SIGNIFICANT = 0.05
+#: A token scores only where so many toxic texts among those that hold it are this improbable.
+LEVEL = 1e-5
+#: Distinct tokens that a task counts before it passes the counts on.
+FLUSH = 400_000
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
@@ -102,7 +107,9 @@ class Model:
 
     def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
         """(position, score) of the scoring tokens, wherever and however often they occur."""
-        return [(i, s) for i, s in enumerate(map(self.scores.__getitem__, words)) if s]
+        score = self.scores.__getitem__
+        known = {w: s for w in set(words) if (s := score(w))}
+        return [(i, known[w]) for i, w in enumerate(words) if w in known] if known else []
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Tokens, and the maximal scoring segments."""
@@ -113,25 +120,24 @@ class Model:
         """-log E of a segment score in a text of n tokens."""
         return self.lam * score - math.log(self.k * max(n, 1))
 
-    def passages(self, text: str) -> list[tuple[int, int, float]]:
-        """The significant segments: (first token, last token, E-value)."""
-        n, found = self.scan(text)
+    def significant(self, n: int, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        """The toxic passages among the segments: (first token, last token, E-value)."""
         e = [(a, b, math.exp(-max(-700.0, min(700.0, self.evidence(n, s))))) for a, b, s in found]
         return [x for x in e if x[2] <= SIGNIFICANT]
 
-    def summary(self, text: str) -> list[float]:
-        """What the curve reads: best and summed significant evidence, the number of significant segments, the scores of all segments, and those of distinct tokens against the length."""
-        words = tokens(text)
-        n, hits = len(words), self.hits(words)
-        found = segments(hits)
+    def passages(self, text: str) -> list[tuple[int, int, float]]:
+        return self.significant(*self.scan(text))
+
+    def summary(self, n: int, found: list[tuple[int, int, float]]) -> list[float]:
+        """What the curve reads, all from the segments: the best evidence, the significant evidence summed, the number of significant segments, the scores of all segments summed, and the share of the text that significant ones cover."""
         each = [self.evidence(n, s) for _, _, s in found]
-        strong = [x for x in each if x >= -math.log(SIGNIFICANT)]
-        distinct = {words[i]: s for i, s in hits}
+        least = -math.log(SIGNIFICANT)
+        strong = [(x, b - a + 1) for x, (a, b, _) in zip(each, found, strict=True) if x >= least]
         best = max(each, default=-math.log(self.k * max(n, 1)))
-        return [best, math.log1p(sum(strong)), math.log1p(len(strong)), math.log1p(sum(s for _, _, s in found)), math.log1p(sum(distinct.values())), sum(distinct.values()) / math.sqrt(n + 10.0), math.log(n + 1.0)]
+        return [max(best, -20.0), math.log1p(sum(x for x, _ in strong)), math.log1p(len(strong)), math.log1p(sum(s for _, _, s in found)), sum(w for _, w in strong) / max(n, 1)]
 
     def score(self, text: str) -> float:
-        return float(logistic(np.array([self.summary(text)]), self.curve)[0])
+        return float(logistic(np.array([self.summary(*self.scan(text))]), self.curve)[0])
 
 
 def logistic(x: np.ndarray, curve: tuple) -> np.ndarray:
@@ -155,33 +161,51 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple:
     return mean, std, w
 
 
-def _count(batch: pa.RecordBatch, wanted: frozenset[bytes] | None = None) -> pa.RecordBatch:
-    """Texts that hold each token or beginning, by label (column 0): only the wanted ones if given; the total under the empty token."""
+def _texts_with(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts that hold each token, by label (column 0); all together under the empty token."""
     by: dict[int, Counter] = {}
     for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         words = set(tokens(text))
-        known = {p for w in words for p in parts(w)} if wanted is None else words
         c = by.setdefault(label, Counter())
-        c.update(known)
+        c.update(words)
         c[b""] += len(words)
-    if wanted is not None:  # a beginning counts once for each of its words in a text, a bound that is close for rare ones
-        for label, c in by.items():
-            few: Counter = Counter({b"": c[b""]})
-            for w, n in c.items():
-                for p in parts(w):
-                    if p in wanted:
-                        few[p] += n
-            by[label] = few
     rows = [(label, w, n) for label, c in by.items() for w, n in c.items()]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["label", "token", "n"])
 
 
-def _histogram(batch: pa.RecordBatch, scores: _Scores) -> pa.RecordBatch:
-    """Occurrences of every token score."""
-    c: Counter = Counter()
-    for text in batch.column(0).to_pylist():
-        c.update(map(scores.__getitem__, tokens(text)))
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()), pa.array(list(c.values()), pa.int64())], ["score", "n"])
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(token, n) over all documents."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                c.update(tokens(text))
+            if len(c) > FLUSH:
+                yield _counted(c)
+                c.clear()
+        yield _counted(c)
+
+    return texts.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _counted(c: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["token", "n"])
+
+
+def _parts() -> Column:
+    """parts() of the column `token`, as an array."""
+    beginnings = F.transform(F.sequence(F.lit(4), F.least(F.lit(8), F.octet_length("token") - 1)), lambda n: F.concat(F.lit(b" "), F.substring(F.col("token"), F.lit(1), n)))
+    return F.when(F.octet_length("token") > 4, F.concat(F.array("token"), beginnings)).otherwise(F.array("token"))
+
+
+def chance(toxic: int, clean: int, share: float) -> float:
+    """Bound (Chernoff) of the probability that so many of the texts with a token, or more, are toxic, where any of them is with probability `share`."""
+    q = toxic / (toxic + clean)
+    if q <= share:
+        return 1.0
+    return math.exp(-toxic * math.log(q / share) - (clean * math.log((1 - q) / (1 - share)) if clean else 0.0))
 
 
 def log_odds(toxic: dict[bytes, int], clean: dict[bytes, int], background: dict[bytes, int]) -> dict[bytes, float]:
@@ -189,7 +213,7 @@ def log_odds(toxic: dict[bytes, int], clean: dict[bytes, int], background: dict[
     nt, nc, nb = (max(x.get(b"", 0), 1) for x in (toxic, clean, background))
     out = {}
     for w in toxic:
-        if w:
+        if w and chance(toxic[w], clean.get(w, 0), nt / (nt + nc)) <= LEVEL:
             yt, yc, prior = toxic[w], clean.get(w, 0), PRIOR * max(background.get(w, 0), 1) / nb
             delta = math.log((yt + prior) / (nt + PRIOR - yt - prior)) - math.log((yc + prior) / (nc + PRIOR - yc - prior))
             if delta / math.sqrt(1 / (yt + prior + 0.5) + 1 / (yc + prior + 0.5)) >= Z and delta > 0.5:
@@ -217,45 +241,56 @@ def solve_lambda(scores: np.ndarray, n: np.ndarray) -> float:
 def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = texts.sparkSession
     rows = training_labels(labels, "toxic", FOLDS, FOLD, sample)
-    chosen = sample_texts(texts, rows)
-    counts = map_batches(chosen, _count, "label int, token binary, n long").groupBy("token").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    # Candidates: all tokens with LEAST or more toxic texts, their number bounded by the sample; and the totals.
-    counts = materialize(counts.where((F.col("toxic") >= LEAST) | (F.col("token") == F.lit(b""))))
-    total = [(r["toxic"], r["clean"]) for r in counts.where(F.col("token") == F.lit(b"")).collect()]
+    chosen = materialize(sample_texts(texts, rows))
+    of = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
+    seen = materialize(map_batches(chosen, _texts_with, "label int, token binary, n long").groupBy("token").agg(of(1).alias("toxic"), of(0).alias("clean")))
+    empty = F.octet_length("token") == 0
+    total = [(r["toxic"], r["clean"]) for r in seen.where(empty).collect()]
     if not total or not all(total[0]):
+        discard(chosen, seen)
         return Model({})
-    wanted = spark.sparkContext.broadcast(frozenset(bytes(r["token"]) for r in counts.select("token").toLocalIterator()) - {b""})
-    everything = map_batches(texts.select(F.lit(0).alias("label"), "text"), lambda b: _count(b, wanted.value), "label int, token binary, n long")
-    background = materialize(everything.groupBy("token").agg(F.sum("n").alias("n")))
-    spread = background.where(F.col("token") == F.lit(b"")).collect()[0]["n"]
+    words = materialize(occurrences(texts))
+    spread = words.agg(F.sum("n")).first()[0]
+    split = lambda df, *n: df.where(~empty).select(F.explode(_parts()).alias("token"), *n).groupBy("token").agg(*(F.sum(x).alias(x) for x in n))
+    # Only beginnings and tokens of toxic texts can score.
+    both = split(seen, "toxic", "clean").where("toxic > 0").join(split(words, "n"), "token").select("token", "toxic", "clean", "n")
 
     def significant(batch: pa.RecordBatch) -> pa.RecordBatch:
-        toxic, clean, seen = ({b"": n, **dict(zip(batch.column(0).to_pylist(), batch.column(k).to_pylist(), strict=True))} for k, n in ((1, total[0][0]), (2, total[0][1]), (3, spread)))
-        got = log_odds(toxic, clean, seen)
+        toxic, clean, every = ({b"": n, **dict(zip(batch.column(0).to_pylist(), batch.column(k).to_pylist(), strict=True))} for k, n in ((1, total[0][0]), (2, total[0][1]), (3, spread)))
+        got = log_odds(toxic, clean, every)
         return pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.float64())], ["token", "score"])
 
-    both = counts.where(F.col("token") != F.lit(b"")).join(background, "token").select("token", "toxic", "clean", "n")
     model = Model({bytes(r["token"]): r["score"] for r in map_batches(both, significant, "token binary, score double").collect()})
     known = spark.sparkContext.broadcast(model.scores)
-    seen = map_batches(texts.select("text"), lambda b: _histogram(b, known.value), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
-    model.lam = solve_lambda(seen["score"].to_numpy(float), seen["n"].to_numpy(float))
 
-    def best(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.scan(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([max((s for *_, s in f), default=0.0) for _, f in found])], ["label", "n", "best"])
+    def histogram(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(map(known.value.__getitem__, batch.column(0).to_pylist())), pa.float64()), batch.column(1)], ["score", "n"])
 
+    found = map_batches(words, histogram, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
+    model.lam = solve_lambda(found["score"].to_numpy(float), found["n"].to_numpy(float))
     shared = spark.sparkContext.broadcast(model)
-    tops = map_batches(chosen, best, "label int, n long, best double").where("label = 0").toPandas()
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [shared.value.scan(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([[{"first": a, "last": b, "score": x} for a, b, x in f] for _, f in got], kind)], ["label", "n", "segments"])
+
+    scanned = materialize(map_batches(chosen, scan, "label int, n long, segments array<struct<first:int,last:int,score:double>>"))
+    discard(chosen, seen, words)
+    tops = scanned.where("label = 0").select("n", F.coalesce(F.array_max(F.transform("segments", lambda x: x["score"])), F.lit(0.0)).alias("best")).toPandas()
     # K makes the E-value exact where it decides: a share SIGNIFICANT of the clean texts reaches it.
     reach = (tops.n.clip(lower=1) * np.exp(-model.lam * tops.best)).to_numpy(float)
     model.k = float(np.clip(SIGNIFICANT / max(np.quantile(reach, SIGNIFICANT), 1e-300), 1e-6, 1e6)) if len(reach) else 1.0
-    again = spark.sparkContext.broadcast(model)
+    again = spark.sparkContext.broadcast((model.lam, model.k))
 
     def facts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([again.value.summary(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["label", "x"])
+        m = Model({}, again.value[0])
+        m.k = again.value[1]
+        got = [m.summary(n, [(x["first"], x["last"], x["score"]) for x in f]) for n, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], ["label", "x"])
 
-    data = map_batches(chosen, facts, "label int, x array<double>").toArrow()
+    data = map_batches(scanned, facts, "label int, x array<double>").toArrow()
+    discard(scanned)
     x, y = np.array(data.column("x").to_pylist(), float), np.array(data.column("label").to_pylist(), float)
     order = np.lexsort((*x.T, y))
     model.curve = fit_logistic(x[order], y[order])
@@ -269,9 +304,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("e_value", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, got = shared.value, batch.column(1).to_pylist()
-        found = [[{"first": a, "last": b, "e_value": e} for a, b, e in m.passages(t)] for t in got]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(t) for t in got], pa.float64()), pa.array(found, kind)], ["doc_id", "score", "passages"])
+        m = shared.value
+        scans = [m.scan(t) for t in batch.column(1).to_pylist()]
+        found = [[{"first": a, "last": b, "e_value": e} for a, b, e in m.significant(*x)] for x in scans]
+        score = logistic(np.array([m.summary(*x) for x in scans]).reshape(len(scans), -1), m.curve)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "passages"])
 
     scored = map_batches(texts, run, "doc_id long, score double, passages array<struct<first:int,last:int,e_value:double>>")
     return scored.select("doc_id", held_out(FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "passages")
