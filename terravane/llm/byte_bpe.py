@@ -7,8 +7,9 @@ met before in the same Python worker is taken from a bounded memo. Decoding join
 tokens; a character whose bytes lie in several tokens is whole again after the join, and the offsets give
 such tokens the range of the whole character.
 
-Defined results: null text counts as empty; an empty text has no tokens and decodes to no bytes; rows with
-equal ids or null ids are encoded like any other; other columns are not read.
+Defined results: null text counts as empty; an empty text has no tokens and decodes to no bytes; null ids decode to
+an empty text; rows with equal ids or null ids are encoded like any other; other columns are not read; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import models
 
-from terravane.llm.common import id_text, map_rows, table
+from terravane.llm.common import id_text, map_batches, map_rows, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 MEMO = 600_000
@@ -75,7 +77,7 @@ class Codec:
         for t, r in ranks.items():
             self.bytes_of[r] = t
         self.split = regex.compile(pattern)
-        self.memo = memo
+        self.memo, self.by_space = memo, pattern == public_tokenizers.PATTERN
         self.whole = _Chunks(self, " ")
         self.first = _Chunks(self, "")
 
@@ -85,9 +87,11 @@ class Codec:
         return np.array([t.id for t in tokens], "<u4").tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
-        """Ids of a text. A space between two other characters always begins a piece, so that a text whose white space is single can be cut there and the chunks memoized; any other goes through the pattern as a whole."""
+        """Ids of a text. By the usual pattern a space between two other characters begins a piece, so that a text whose white space is single can be cut there and the chunks memoized; any other text, and any other pattern, goes through the pattern as a whole."""
         if not text:
             return b""
+        if not self.by_space:
+            return b"".join(map(self.piece_memo, self.split.findall(text)))
         head, *rest = text.split(" ")
         try:
             return b"".join([self.first[head], *map(self.whole.__getitem__, rest)])
@@ -106,13 +110,21 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        """Code point range of every token; tokens that share a character share its range."""
-        ends = np.cumsum([len(self.bytes_of[i]) for i in self.encode(text)], dtype=np.int64)
-        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        char = np.cumsum((data & 0xC0) != 0x80) - 1
-        starts = np.concatenate([[0], ends[:-1]])
-        return [(int(char[a]), int(char[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)] if len(ends) else []
+    def tokens(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids, and the code point range of every token; tokens that share a character share its range. The library's offsets are those of the characters that stand for bytes, written as UTF-8."""
+        ids: list[int] = []
+        spans: list[tuple[int, int]] = []
+        first = 0  # code points before the piece
+        for piece in self.split.findall(text):
+            data = piece.encode("utf-8", "replace")
+            char = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+            mapped = data.decode("latin-1").translate(self.table)
+            byte = np.cumsum((np.frombuffer(mapped.encode(), np.uint8) & 0xC0) != 0x80) - 1  # of the piece, by the library's offset
+            for t in self.model.tokenize(mapped):
+                ids.append(t.id)
+                spans.append((first + int(char[byte[t.offsets[0]]]), first + int(char[byte[t.offsets[1] - 1]]) + 1))
+            first += len(piece)
+        return ids, spans
 
 
 class _Spaces(Exception):
@@ -161,8 +173,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def row(i: int | None, text: str) -> tuple:
         c = codec(path)
-        spans = c.offsets(text) if offsets else []
-        return (i, c.encode(text), *([[a for a, _ in spans], [b for _, b in spans]] if offsets else []))
+        if not offsets:
+            return i, c.encode(text)
+        ids, spans = c.tokens(text)
+        return i, ids, [a for a, _ in spans], [b for _, b in spans]
 
     extra = ", starts array<int>, ends array<int>" if offsets else ""
     return map_rows(id_text(docs, id_col, text_col), row, "doc_id long, ids array<long>" + extra, [pa.int64(), pa.list_(pa.int64())] + [pa.list_(pa.int32())] * (2 * offsets))
@@ -170,13 +184,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = RANKS) -> DataFrame:
     """doc_id and text, from ids; bytes that are no UTF-8 become U+FFFD."""
-    from terravane.llm.common import map_batches
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [codec(path).decode(x or []) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return map_batches(encoded.selectExpr(f"cast({id_col} as long) doc_id", f"cast({ids_col} as array<long>) ids"), run, "doc_id long, text string")
+    return map_batches(encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<long>").alias("ids")), run, "doc_id long, text string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

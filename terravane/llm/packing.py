@@ -47,6 +47,7 @@ class WordCodec(dict):
         self.tokenizer.encode_special_tokens = True
         self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
         self.split, self.memo, self.table = regex.compile(PATTERN), memo, dict(enumerate(byte_chars()))
+        self.by_word = path == WORDS  # what follows about words holds for this tokenizer
         self.beyond = regex.compile(r"[^\x00-˿]")
         self.control = regex.compile(r"[\x1c-\x1f]")
 
@@ -65,7 +66,7 @@ class WordCodec(dict):
 
     def encode_bytes(self, text: str) -> bytes:
         """As the tokenizer encodes; characters below U+0300 are in normal form, and Python lowers them as the tokenizer does."""
-        if self.control.search(text):  # white space for Python but not for the tokenizer
+        if not self.by_word or self.control.search(text):  # white space for Python but not for the tokenizer
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.normal.normalize_str(text).split(" ") if self.beyond.search(text) else text.lower().split()
         return b"".join(map(self.__getitem__, words))
@@ -145,6 +146,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                 items = []
         yield from _packed(items, length, slack)
 
+    # The parts stay: the rows of the result are read from them.
     rest = materialize(id_text(docs, id_col, text_col).mapInArrow(first, schema))
     done, n = [], math.inf
     while True:
