@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYPOINTS = "image_id long, table_id int, rows long, cols long"
@@ -53,3 +53,24 @@ def write_raster(cells: DataFrame, meta: DataFrame, path: str) -> None:
     """An orthophoto's covered cells as Parquet and its frame as JSON."""
     cells.write.mode("overwrite").parquet(f"{path}/cells")
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+LOG_TAIL = 400
+
+
+def log_tail(column: str, n: int = LOG_TAIL) -> Column:
+    """The last n lines of a log column (ARRAY<STRING>)."""
+    c = F.col(column)
+    return F.when(F.size(c) > n, F.slice(c, F.size(c) - n + 1, n)).otherwise(c)
+
+
+def jobs_by_date(jobs: DataFrame) -> DataFrame:
+    """Jobs (id, created, ...), the newest first, ties by id."""
+    return jobs.orderBy(F.desc("created"), "id")
+
+
+def write_job_states(jobs: DataFrame, path: str) -> None:
+    """Job states as JSON lines, with the end of their logs and without the marker's pixels (marker_px)."""
+    out = jobs.drop("marker_px")
+    out = out.withColumn("log", log_tail("log")) if "log" in out.columns else out
+    out.write.mode("overwrite").json(path)

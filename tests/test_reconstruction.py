@@ -472,6 +472,24 @@ def test_ply_and_cache(spark, tmp_path):
     assert len(built) == 3  # other inputs, another table
 
 
+def test_jobs_and_heights(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", 1.0, [str(i) for i in range(500)], "px"), ("b", 3.0, ["x"], None), ("c", 3.0, [], None)], "id string, created double, log array<string>, marker_px string")
+    assert [r["id"] for r in files.jobs_by_date(jobs).collect()] == ["b", "c", "a"]
+    files.write_job_states(jobs, f"{tmp_path}/jobs")
+    got = {r["id"]: r for r in spark.read.json(f"{tmp_path}/jobs").collect()}
+    assert got["a"]["log"] == [str(i) for i in range(100, 500)] and "marker_px" not in got["a"].asDict()
+    rng = np.random.default_rng(0)
+    p = rng.random((500, 2)) * [4, 2]
+    uvh = spark.createDataFrame([(float(u), float(v), float(u)) for u, v in p], "u double, v double, h double")
+    cells = surface.height_map(uvh, 8).collect()
+    assert max(r["ix"] for r in cells) == 7 and max(r["iy"] for r in cells) <= 4 and sum(r["n"] for r in cells) == 500
+    lo = p.min(0)
+    at = [r for r in cells if r["ix"] == 3 and r["iy"] == 1][0]
+    step = (p[:, 0].max() - lo[0]) / 8
+    own = p[(np.floor((p[:, 0] - lo[0]) / step) == 3) & (np.floor((p[:, 1] - lo[1]) / step) == 1)]
+    assert at["n"] == len(own) and at["h"] == pytest.approx(own[:, 0].mean())
+
+
 # ---- the synthetic scene and whole measurements ---------------------------------------------------------
 
 
