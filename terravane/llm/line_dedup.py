@@ -3,12 +3,13 @@
 One pass over the texts sets the bits of every line key in a filter "seen once"; a bit that is set again
 by another part of the table goes into the filter "seen twice" (`twice |= once & part`), which therefore
 holds every key that two documents share, and few others. Parts travel as sparse segments of the bit
-array. A second pass emits only keys that the twice-filter holds, as (digest, doc_id); these are grouped
-exactly, the smallest doc_id of a key keeps it, and the others get the digest on their drop list.
+array. A second pass finds the keys of each text that the twice-filter holds. Only these are shuffled, as (digest,
+doc_id): they are grouped exactly, the smallest doc_id of a key keeps it, and the others get the digest on
+their drop list. Texts without a suspected key are done after that pass; only the others meet their drop lists.
 
-The filters have `chars / 4` bits, at most MAX_BITS (64 MB), which bounds what is broadcast. Beyond that a
-larger share of the keys is suspected and shuffled; the result does not change. A digest is 128 bits of
-BLAKE2b.
+The filters have a bit for every 16 characters, at most MAX_BITS (64 MB), which bounds what is broadcast: some 20 bits
+a key up to 8 GB of text and 5 at 30 GB. From some 300 GB on nearly all keys are suspects, 24 bytes each, about 7 % of the
+text: the exact grouping then carries all of them in one shuffle with the same result. A digest is 128 bits of BLAKE2b.
 
 Defined results: null or empty text is one empty line; keys of under 10 code points always stay; rows that
 share a doc_id count as one document; rows with null doc_id take no part and stay whole; an empty table
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from terravane.llm.common import id_text, map_batches, table, with_n_chars
@@ -55,7 +56,7 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def filter_bits(chars: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, chars // 4 - 1).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, chars // 16 - 1).bit_length()))
 
 
 def _segments(once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
@@ -112,25 +113,20 @@ def twice_filter(texts: DataFrame) -> tuple[int, bytes]:
     return bits, whole.tobytes()
 
 
-def suspects(texts: DataFrame) -> DataFrame:
-    """(key, doc_id): the digests of lines that the twice-filter holds, once for each row of the table."""
-    bits, data = twice_filter(texts)
-    shared = texts.sparkSession.sparkContext.broadcast(data)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, k) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in {k for k in keys_of(t) if k is not None}]
+def suspected(held: np.ndarray, bits: int, texts: list[str], known: list[bool]) -> list[list[bytes]]:
+    """For each text the digests of its keys that the twice-filter holds; none where `known` is false."""
+    rows = [(i, k) for i, (t, ok) in enumerate(zip(texts, known, strict=True)) if ok for k in {k for k in keys_of(t) if k is not None}]
+    out: list[list[bytes]] = [[] for _ in texts]
+    if rows:
         at = positions(np.array([xxh3_64_intdigest(k) for _, k in rows], np.uint64), bits)
-        held = np.frombuffer(shared.value, np.uint8)
-        hit = ((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-        rows = [rows[j] for j in np.flatnonzero(hit)]
-        return pa.RecordBatch.from_arrays([pa.array([digest(k) for _, k in rows], pa.binary()), pa.array([i for i, _ in rows], pa.int64())], ["key", "doc_id"])
-
-    return map_batches(texts, run, "key binary, doc_id long")
+        for j in np.flatnonzero(((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)):
+            out[rows[j][0]].append(digest(rows[j][1]))
+    return out
 
 
-def drop_lists(texts: DataFrame) -> DataFrame:
-    """(doc_id, keys): the line digests that a document loses."""
-    found = materialize(suspects(texts.where("doc_id IS NOT NULL")))
+def drop_lists(marked: DataFrame) -> DataFrame:
+    """(doc_id, keys): the line digests that a document loses. marked: (doc_id, suspects)."""
+    found = marked.where("size(suspects) > 0").select("doc_id", F.explode("suspects").alias("key"))
     # Written out: a join of two plain scans is one whose hot keys adaptive execution can split.
     first = materialize(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     return found.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
@@ -146,35 +142,66 @@ def keep_lines(text: str, drop: list[bytes] | None) -> tuple[str, int, int]:
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
+def hexed(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row."""
     texts = id_text(docs, id_col, text_col)
-    joined = texts.join(drop_lists(texts), "doc_id", "left").select("doc_id", "text", "keys")
+    bits, data = twice_filter(texts.where("doc_id IS NOT NULL"))
+    shared = docs.sparkSession.sparkContext.broadcast(data)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [keep_lines(t, d) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, got = batch.column(0), batch.column(1).to_pylist()
+        found = suspected(np.frombuffer(shared.value, np.uint8), bits, got, ids.is_valid().to_pylist())
+        done = [not f for f in found]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([d for _, _, d in rows], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t, _, _ in rows], pa.string())],
-            ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+            [ids, pa.array(found, pa.list_(pa.binary())), pa.array([None if d else t for t, d in zip(got, done, strict=True)], pa.string()), pa.array([t.count("\n") + 1 for t in got], pa.int64()), pa.array([hexed(t) if d else None for t, d in zip(got, done, strict=True)], pa.string())],
+            ["doc_id", "suspects", "text", "n_lines", "kept_sha256"],
         )
 
-    return map_batches(joined, run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    marked = materialize(map_batches(texts, look, "doc_id long, suspects array<binary>, text string, n_lines long, kept_sha256 string"))
+    done = marked.where("size(suspects) = 0").select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), "kept_sha256")
+    joined = marked.where("size(suspects) > 0").select("doc_id", "text").join(drop_lists(marked), "doc_id", "left").select("doc_id", "text", "keys")
 
+    def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [keep_lines(t, d) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([d for _, _, d in rows], pa.int64()), pa.array([hexed(t) for t, _, _ in rows], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with the repeated lines gone from its texts; all columns and rows stay, n_chars follows."""
-    drops = drop_lists(id_text(docs, id_col, text_col))
+    return done.unionByName(map_batches(joined, drop, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", emptied: bool = True) -> DataFrame:
+    """The table with the repeated lines gone from its texts; all columns stay, n_chars follows. emptied: keep also the rows that lose every line with a word."""
+    texts = id_text(docs, id_col, text_col)
+    bits, data = twice_filter(texts.where("doc_id IS NOT NULL"))
+    shared = docs.sparkSession.sparkContext.broadcast(data)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    joined = docs.select(row, F.col(id_col).cast("long").alias("doc_id")).join(drops, "doc_id", "left").select("row", F.col("keys"))
+    whole = docs.select(row, F.col(id_col).cast("long").alias("doc_id"))
     at = docs.columns.index(text_col)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [t or "" for t in batch.column(0).field(at).to_pylist()]
+        found = suspected(np.frombuffer(shared.value, np.uint8), bits, got, batch.column(1).is_valid().to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["row", "doc_id", "suspects"])
+
+    row_type = StructField("row", docs.schema)
+    marked = materialize(map_batches(whole, look, StructType([row_type, StructField("doc_id", LongType()), StructField("suspects", ArrayType(BinaryType()))])))
+    joined = marked.where("size(suspects) > 0").select("row", "doc_id").join(drop_lists(marked), "doc_id", "left").select("row", "keys")
+
+    def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.column(0)
-        cols = rows.flatten()
-        cols[at] = pa.array([t if t is None else keep_lines(t, d)[0] for t, d in zip(cols[at].to_pylist(), batch.column(1).to_pylist(), strict=True)], cols[at].type)
-        return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(cols, fields=list(rows.type))], ["row"])
+        cols, new, stays = rows.flatten(), [], []
+        for t, d in zip(cols[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kept, _, gone = keep_lines(t or "", d)
+            new.append(t if t is None else kept)
+            stays.append(emptied or not gone or bool(kept.strip(SPACE)))
+        cols[at] = pa.array(new, cols[at].type)
+        return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(cols, fields=list(rows.type))], ["row"]).filter(pa.array(stays, pa.bool_()))
 
-    return with_n_chars(map_batches(joined, run, StructType([StructField("row", docs.schema)])).select("row.*"))
+    dropped = map_batches(joined, drop, StructType([row_type]))
+    return with_n_chars(marked.where("size(suspects) = 0").select("row").unionByName(dropped).select("row.*"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +209,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(docs)
+    """Documents that lose every line with a word go: their lines stand in documents of smaller ids."""
+    return drop_repeated_lines(docs, emptied=False)
 
 
 QUERIES = {"op8_line_dedup": op8_line_dedup}
