@@ -60,8 +60,20 @@ def baseline_pairs(pairs: DataFrame, views: DataFrame, depths: DataFrame, least:
 
 
 def greedy_pairs(pairs: DataFrame, by: str = "recon_id", per_image: int = 2, most: int = 30) -> DataFrame:
-    """Greedy choice by shared points (ties by a, b): no image more than `per_image` times, at most `most` pairs; one ordered fold for each reconstruction."""
+    """Greedy choice by shared points (ties by a, b): no image more than `per_image` times, at most `most` pairs of a reconstruction.
+
+    A pair is passed over only for an image that is used up, and with `most` pairs chosen no more than `most` images are. So a
+    chosen pair is among the first most + per_image of either image, and among the first
+    most * (most + per_image + 1) of those that are: the ordered fold gets no more rows than that, however many pairs there are.
+    """
     ship(pairs.sparkSession)
+    order = (F.desc("shared"), "a", "b")
+    deep = most + per_image
+    ends = pairs.withColumn("_image", F.explode(F.array("a", "b")))
+    top = ends.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_image").orderBy(*order))).where(F.col("_r") <= deep)
+    # A pair of an image with itself has two rows of the same image.
+    both = top.groupBy(*pairs.columns).agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    first = both.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= most * (deep + 1)).drop("_r")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}
@@ -75,4 +87,4 @@ def greedy_pairs(pairs: DataFrame, by: str = "recon_id", per_image: int = 2, mos
                 used[r.b] = used.get(r.b, 0) + 1
         return pd.DataFrame(rows, columns=pdf.columns)
 
-    return pairs.groupBy(by).applyInPandas(fold, pairs.schema)
+    return first.select(*pairs.columns).groupBy(by).applyInPandas(fold, pairs.schema)

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import sqlite3
+from collections.abc import Iterator
+from contextlib import closing
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terravane.session import materialize
+
+UNREADABLE = -1
 KEYPOINTS = "image_id long, table_id int, rows long, cols long"
 VIEWS = "name string, image_id long, camera_id long, r array<double>, t array<double>, k array<double>, dist array<double>, width int, height int"
 TRUTH = "volume_true_full_m3 double, volume_true_polygon_m3 double, K array<array<double>>, image_size array<int>, poses map<string,struct<R:array<array<double>>,t:array<double>,eye:array<double>>>, polygon_image string, polygon_px array<array<double>>"
@@ -31,17 +38,30 @@ def truth_views(truth: DataFrame) -> DataFrame:
 
 
 def keypoint_counts(spark: SparkSession, path: str) -> DataFrame | None:
-    """(image_id, table_id, rows, cols) of a feature database; table_id is 0 where the table has none. None where the file or the table can't be read (the median then counts as infinite)."""
+    """(image_id, table_id, rows, cols) of a feature database on any file system that Spark reads; table_id is 0 where the table has none. None where the file or the table can't be read (the median then counts as infinite)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in KEYPOINTS.split(", ")]
+        for pdf in batches:
+            for data in pdf["content"]:
+                try:
+                    with closing(sqlite3.connect(":memory:")) as db:
+                        db.deserialize(bytes(data))
+                        own = [r[1] for r in db.execute("PRAGMA table_info(keypoints)")]
+                        if not own:
+                            raise sqlite3.DatabaseError("no table of keypoints")
+                        rows = db.execute(f"SELECT image_id, {'table_id' if 'table_id' in own else '0'}, rows, cols FROM keypoints")
+                        while got := rows.fetchmany(10_000):
+                            yield pd.DataFrame(got, columns=names).astype("Int64")
+                except sqlite3.Error:
+                    yield pd.DataFrame([(None, UNREADABLE, None, None)], columns=names).astype("Int64")
+
     try:
-        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-            names = [r[1] for r in db.execute("PRAGMA table_info(keypoints)")]
-            if not names:
-                return None
-            table = "table_id" if "table_id" in names else "0"
-            got = db.execute(f"SELECT image_id, {table}, rows, cols FROM keypoints").fetchall()  # noqa: S608
-    except sqlite3.Error:
+        content = spark.read.format("binaryFile").load(path).select("content")
+    except AnalysisException:
         return None
-    return spark.createDataFrame(got, KEYPOINTS)
+    found = materialize(content.mapInPandas(read, KEYPOINTS))
+    return found if found.where(F.col("table_id") == UNREADABLE).isEmpty() else None
 
 
 def write_result(measurement: DataFrame, path: str) -> None:

@@ -285,6 +285,22 @@ def test_covisibility_of_long_tracks(spark):
         assert {(r["a"], r["b"]): r["shared"] for r in graph.covisibility(df, chunk).collect()} == want
 
 
+def test_greedy_pairs_of_many(spark):
+    rng = np.random.default_rng(8)
+    rows = [(r, a, b, int(rng.integers(1, 60)) + (200 if a == 3 else 0)) for r in (1, 2) for a in range(50) for b in range(a, 50) if rng.random() < 0.8]
+    got = {(x["recon_id"], x["a"], x["b"]) for x in graph.greedy_pairs(spark.createDataFrame(rows, "recon_id long, a long, b long, shared long"), most=6).collect()}
+    want = set()
+    for recon in (1, 2):
+        used, n = {}, 0
+        for _, a, b, _ in sorted((x for x in rows if x[0] == recon), key=lambda x: (-x[3], x[1], x[2])):
+            if n < 6 and used.get(a, 0) < 2 and used.get(b, 0) < 2:
+                want.add((recon, a, b))
+                used[a] = used.get(a, 0) + 1
+                used[b] = used.get(b, 0) + 1
+                n += 1
+    assert got == want
+
+
 def test_ortho_selection_is_exact(spark):
     rng = np.random.default_rng(1)
     p = rng.uniform(0, 20, (20_000, 3))
@@ -402,6 +418,13 @@ def test_attempts(spark, tmp_path):
             db.executemany(f"INSERT INTO keypoints VALUES (?, {'0, ' if own else ''}?, 4, x'')", [(i, n) for i, n in enumerate([1000, 2000, 3000, 4000, 0, None])])
         assert attempts.median_keypoints(files.keypoint_counts(spark, str(path))).first()[0] == 2500.0
     assert files.keypoint_counts(spark, str(tmp_path / "missing.db")) is None
+    for name, make in (("empty.db", "CREATE TABLE other (a)"), ("junk.db", None)):
+        if make:
+            with sqlite3.connect(tmp_path / name) as db:
+                db.execute(make)
+        else:
+            (tmp_path / name).write_bytes(b"no database" * 100)
+        assert files.keypoint_counts(spark, str(tmp_path / name)) is None
     black = spark.createDataFrame([(1, 0, 1, 1), (2, 1, 0, 0)], "point_id long, r short, g short, b short")
     new = spark.createDataFrame([(1, 9, 8, 7)], "point_id long, r short, g short, b short")
     assert sorted((r["point_id"], r["r"]) for r in attempts.sparse_colours(black, new).collect()) == [(1, 9), (2, 128)]
