@@ -5,7 +5,8 @@ embeddings of the neighbours by place, a tanh layer, and a softmax in two levels
 token in its group), trained in numpy by cross entropy. All words are counted over all documents. The commonest
 have tokens of their own, and their number grows with the root of the counted positions; the rest share tail
 tokens by hash, and each has its share of its token's count: p(word | sides) = p(token | sides) * n(word) / n(token).
-Token 0 is the text's edge.
+In a group of tail tokens, which stand for nothing but hashes, a token has its share of the group's count; the network
+predicts the group. Token 0 is the text's edge.
 
 Every position of every document is trained on once: in each of ROUNDS parts of the documents the executors
 go through their own rows from the same parameters, which are then averaged by positions. Word counts stay
@@ -13,12 +14,12 @@ distributed and are joined to the rare words of the documents; what reaches the
 parameters. The averages, and so the last digits of the scores, depend on how the rows are dealt to tasks.
 
 Defined results: null or empty text has no tokens, a sum of 0, and no mean (null); repeated rows count
-repeatedly and get equal scores; an empty table gives an empty result; other columns are not read.
+repeatedly and get scores that are equal but for rounding; rows with null doc_id are counted, trained on and scored like any; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from terravane.llm.common import id_text, map_batches, table
 from terravane.session import materialize, ship
@@ -35,44 +37,52 @@ LEAST_WORDS = 95
 SHARE = 0.5
 SPAN = 2
 WIDTH = 24
-STEPS = 150
 ROUNDS = 2
-BATCH = 16_384
+BATCH = 32_768
+#: Rows of a matrix that stay in the processor's cache.
+CACHED = 4096
 RATE = 0.05
-PIECE = 1 << 16
+PIECE = 1 << 13
+#: Positions that a task counts at once, about.
+SORTED = 4_000_000
 
 
-class _Hashes(dict):
-    """Memo from a word to 64 bits of its hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        if len(self) >= 300_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = out
-        return out
+def hash_of(word: bytes) -> int:
+    """64 bits of a word's hash, signed."""
+    h = xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
-_HASHES = _Hashes()
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
 
 
 def hashes(text: str) -> np.ndarray:
     """The words of a text, as 64-bit hashes."""
-    words = text.encode("utf-8", "replace").lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
+    words = words_of(text)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over all documents."""
+    ship(texts.sparkSession)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c: Counter = Counter()
-        for t in batch.column(0).to_pylist():
-            c.update(hashes(t).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(hashes(t))
+                size += len(held[-1])
+            if size > SORTED:
+                yield counted(held)
+                held, size = [], 0
+        yield counted(held)
 
-    return map_batches(texts.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -82,15 +92,29 @@ class Vocabulary:
         self.order = np.argsort(words)
         self.words, self.tail = words[self.order], tail
         self.size = 1 + len(words) + tail
+        bucket = (self.words >> 48) + (1 << 15)
+        self.first = np.searchsorted(bucket, np.arange((1 << 16) + 1)).astype(np.int32)
+        self.filled = np.diff(self.first).astype(np.int16)  # words of each bucket: few, as hashes are even
+        self.depth = int(self.filled.max())
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        out = 1 + len(self.words) + h % self.tail
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            known = self.words[at] == h
-            out[known] = 1 + self.order[at[known]]
+        """The tokens of hashed words. The words lie in buckets by 16 bits of their hash, each looked through as far as the fullest one goes."""
+        out = np.zeros(len(h), np.int64)
+        bucket = (h >> 48) + (1 << 15)
+        at, open_ = self.first[bucket], np.flatnonzero(self.filled[bucket])
+        for k in range(self.depth):
+            i = at[open_] + k
+            found = self.words[i] == h[open_]
+            out[open_[found]] = 1 + self.order[i[found]]
+            open_ = open_[~found & (self.filled[bucket[open_]] > k + 1)]
+        rest = np.flatnonzero(out == 0)
+        out[rest] = 1 + len(self.words) + h[rest] % self.tail
         return out
 
+    def split(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """ids() of each of some hashed texts, looked up together."""
+        return np.split(self.ids(np.concatenate([np.empty(0, np.int64), *texts])), np.cumsum([len(t) for t in texts])[:-1])
+
     def rare(self, ids: np.ndarray) -> np.ndarray:
         return ids > len(self.words)
 
@@ -113,22 +137,27 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(np.array([r["word"] for r in rows], np.int64), max(32, most // 3))
 
 
-def contexts(ids: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """The neighbours of every position: span to the left, then span to the right; 0 stands beyond the edges."""
-    a = np.zeros(len(ids) + 2 * span, np.int64)
-    a[span : span + len(ids)] = ids
-    return np.stack([a[k : k + len(ids)] for k in range(2 * span + 1) if k != span], 1)
+#: The places of the neighbours.
+SIDES = [d for d in range(-SPAN, SPAN + 1) if d]
+
+
+def stream(texts: list[np.ndarray]) -> np.ndarray:
+    """The tokens of texts in a row, with SPAN edges around each."""
+    gap = np.zeros(SPAN, np.int64)
+    return np.concatenate([gap, *(x for t in texts for x in (t, gap))])
 
 
 class Network:
-    """Embeddings e (by place and token), bias b, groups (w, c) and tokens in their group (u, d), and the sums of squared gradients."""
+    """Embeddings e (by token, the places side by side), bias b, groups (w, c) and tokens in their group (u, d), and the sums of squared gradients."""
 
-    def __init__(self, v: int, places: int = 2 * SPAN, width: int = WIDTH, seed: int = 3) -> None:
+    def __init__(self, v: int, width: int = WIDTH, seed: int = 3, tail: int = 0) -> None:
         rng = np.random.default_rng(seed)
-        self.v, self.places = v, places
+        self.v, self.width, self.tail = v, width, tail
         self.each = math.ceil(math.sqrt(v))
         self.groups = math.ceil(v / self.each)
-        p = {"e": rng.normal(0, 0.3, (places * v, width)), "b": np.zeros(width), "w": rng.normal(0, 0.1, (width, self.groups)), "c": np.zeros(self.groups), "u": rng.normal(0, 0.1, (self.groups, width, self.each)), "d": np.zeros((self.groups, self.each))}
+        self.learnt = math.ceil((v - tail) / self.each)  # the groups from here on hold tail tokens only
+        p = {"e": rng.normal(0, 0.3, (v, len(SIDES) * width)), "b": np.zeros(width), "w": rng.normal(0, 0.1, (width, self.groups)), "c": np.zeros(self.groups), "u": rng.normal(0, 0.1, (self.groups, width, self.each)), "d": np.zeros((self.groups, self.each))}
+        p["u"][self.learnt :] = 0
         p["d"].reshape(-1)[v:] = -1e9  # places of the last group that hold no token
         self.p = {k: x.astype(np.float32) for k, x in p.items()}
         self.m = {k: np.full_like(x, 1e-8) for k, x in self.p.items()}
@@ -151,97 +180,160 @@ class Network:
                 part[k] = flat[at : at + x.size].astype(np.float32).reshape(x.shape)
                 at += x.size
 
-    def hidden(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = sides + np.arange(self.places) * self.v
-        x = self.p["b"] + self.p["e"][rows[:, 0]]
-        for k in range(1, self.places):
-            x += self.p["e"][rows[:, k]]
-        return rows, np.tanh(x)
-
-    def _parts(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(group, positions, place in the group)."""
-        g, place = np.divmod(token, self.each)
-        order = np.argsort(g, kind="stable")
-        ends = np.cumsum(np.bincount(g, minlength=self.groups))
+    def _place(self, k: int) -> slice:
+        return slice(k * self.width, (k + 1) * self.width)
+
+    def hidden(self, s: np.ndarray) -> np.ndarray:
+        """The hidden layer at each position of a stream but its first and last SPAN."""
+        e, n = self.p["e"][s], len(s) - 2 * SPAN
+        x = np.broadcast_to(self.p["b"], (n, self.width)).copy()
+        for k, d in enumerate(SIDES):
+            x += e[SPAN + d : SPAN + d + n, self._place(k)]
+        return np.tanh(x, out=x)
+
+    def _runs(self, token: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(group, first, end) of the runs of sorted tokens."""
+        ends = np.searchsorted(token, np.arange(1, self.groups + 1) * self.each)
         for k in np.flatnonzero(np.diff(ends, prepend=0)):
-            at = order[(ends[k - 1] if k else 0) : ends[k]]
-            yield int(k), at, place[at]
+            yield int(k), int(ends[k - 1]) if k else 0, int(ends[k])
+
+    def _logs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Log-probabilities of sorted tokens."""
+        out = np.empty(len(token))
+        d = self.p["d"].reshape(-1)
+        for g, a, b in self._runs(token):
+            for i in range(a, b, CACHED):
+                j = min(b, i + CACHED)
+                z = _logits(h[i:j], self.p["w"], self.p["c"])
+                got = z[:, g].astype(np.float64)
+                got -= np.log(_exps(z))
+                if g < self.learnt:
+                    got += _picked(_logits(h[i:j], self.p["u"][g], self.p["d"][g]), token[i:j] - g * self.each)
+                else:
+                    got += d[token[i:j]]
+                out[i:j] = got
+        return out
 
-    def logs(self, sides: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Log-probability of each token between its sides."""
+    def logs(self, s: np.ndarray) -> np.ndarray:
+        """Log-probability of every token of a stream that is no edge, between its neighbours."""
+        inner = s[SPAN : len(s) - SPAN]
+        order = _order(inner)
+        order = order[int((inner == 0).sum()) :]  # edges come first
+        out = np.zeros(len(inner))
+        out[order] = self._logs(self.hidden(s)[order], inner[order])
+        return out[inner != 0]
+
+    def between(self, sides: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Log-probability of each token between its sides (one column a place)."""
+        h = np.tanh(self.p["b"] + sum(self.p["e"][sides[:, k], self._place(k)] for k in range(len(SIDES))))
+        order = _order(token)
         out = np.empty(len(token))
-        for k in range(0, len(token), BATCH):
-            t = token[k : k + BATCH]
-            h = self.hidden(sides[k : k + BATCH])[1]
-            got = _picked(h @ self.p["w"] + self.p["c"], t // self.each)
-            for g, at, place in self._parts(t):
-                got[at] += _picked(h[at] @ self.p["u"][g] + self.p["d"][g], place)
-            out[k : k + BATCH] = got
+        out[order] = self._logs(h[order], token[order])
         return out
 
-    def step(self, sides: np.ndarray, token: np.ndarray, weight: np.ndarray | None = None, rate: float = RATE) -> None:
-        """One step of Adagrad on the (weighted) mean cross entropy; only what the batch touches moves."""
-        n = len(token)
-        share = np.full(n, 1 / n, np.float32) if weight is None else (weight / weight.sum()).astype(np.float32)
-        rows, h = self.hidden(sides)
-        q = _softmax(h @ self.p["w"] + self.p["c"])
-        q[np.arange(n), token // self.each] -= 1
-        q *= share[:, None]
-        dh = q @ self.p["w"].T
-        self._move("w", slice(None), h.T @ q, rate)
-        self._move("c", slice(None), q.sum(0), rate)
-        for g, at, place in self._parts(token):
-            x = h[at]
-            r = _softmax(x @ self.p["u"][g] + self.p["d"][g])
-            r[np.arange(len(at)), place] -= 1
-            r *= share[at, None]
-            dh[at] += r @ self.p["u"][g].T
-            self._move("u", g, x.T @ r, rate)
-            self._move("d", g, r.sum(0), rate)
-        dh *= 1 - h * h
-        self._move("b", slice(None), dh.sum(0), rate)
-        flat = rows.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        self._move("e", ids, np.add.reduceat(dh[order % n], first, axis=0), rate)
-
-    def _move(self, k: str, at: slice | int | np.ndarray, g: np.ndarray, rate: float) -> None:
+    def step(self, s: np.ndarray, rate: float = RATE) -> None:
+        """One step of Adagrad on the mean cross entropy of a stream; only what it touches moves."""
+        h = self.hidden(s)
+        inner = s[SPAN : len(s) - SPAN]
+        order = _order(inner)
+        order = order[int((inner == 0).sum()) :]
+        token, x, n = inner[order], h[order], len(order)
+        if not n:
+            return
+        q = _softmax(_logits(x, self.p["w"], self.p["c"]))
+        one = np.ones(n, np.float32)
+        runs = list(self._runs(token))
+        for g, a, b in runs:
+            q[a:b, g] -= 1
+        dx = q @ self.p["w"].T
+        self._move("w", slice(None), x.T @ q / n, rate)
+        self._move("c", slice(None), one @ q / n, rate)
+        own = [r for r in runs if r[0] < self.learnt]
+        gu, gd = np.empty((len(own), *self.p["u"].shape[1:]), np.float32), np.empty((len(own), self.each), np.float32)
+        for k, (g, a, b) in enumerate(own):
+            r = _softmax(_logits(x[a:b], self.p["u"][g], self.p["d"][g]))
+            r.reshape(-1)[np.arange(0, (b - a) * self.each, self.each) + (token[a:b] - g * self.each)] -= 1
+            dx[a:b] += r @ self.p["u"][g].T
+            np.matmul(x[a:b].T, r, out=gu[k])
+            np.matmul(one[a:b], r, out=gd[k])
+        at = np.array([g for g, _, _ in own], np.int64)
+        self._move("u", at, gu / n, rate)
+        self._move("d", at, gd / n, rate)
+        x *= x
+        np.subtract(1, x, out=x)
+        x *= dx
+        x /= n
+        self._move("b", slice(None), one @ x, rate)
+        # What a position's neighbours get from it lies at their places of the stream; equal tokens are summed.
+        m = len(inner)
+        back = np.zeros((m, self.width), np.float32)
+        back[order] = x
+        each = np.zeros((len(s), len(SIDES) * self.width), np.float32)
+        for k, d in enumerate(SIDES):
+            each[SPAN + d : SPAN + d + m, self._place(k)] = back
+        every = _order(s)
+        ids = s[every]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        self._move("e", ids[first], _sums(each, every, first), rate)
+
+    def _move(self, k: str, at: slice | np.ndarray, g: np.ndarray, rate: float) -> None:
         m = self.m[k][at] + g * g
         self.m[k][at] = m
-        self.p[k][at] -= rate * g / np.sqrt(m)
+        np.sqrt(m, out=m)
+        np.divide(g, m, out=m)
+        m *= rate
+        self.p[k][at] -= m
+
+
+def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows x[order] from each `first` to the next: long runs by a product, short ones all together, row by row."""
+    n = np.diff(first, append=len(order))
+    out = x[order[first]]
+    short = np.flatnonzero((n > 1) & (n < 16))
+    for k in range(1, 16):
+        short = short[n[short] > k]
+        out[short] += x[order[first[short] + k]]
+    for i in np.flatnonzero(n >= 16):
+        rows = x[order[first[i] : first[i] + n[i]]]
+        out[i] = np.ones(len(rows), x.dtype) @ rows
+    return out
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Stable order of token numbers; 16 bits, where they do, are sorted by radix."""
+    return np.argsort(ids.astype(np.uint16) if len(ids) and int(ids.max()) < 1 << 16 else ids, kind="stable")
+
+
+def _logits(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """h @ w + c, for h within -1..1. Where they may be so large that exp overflows, far beyond what training reaches, they are cut at 60."""
+    z = h @ w
+    z += c
+    if float(np.abs(w).sum(0).max()) + float(c.max()) > 60:
+        np.minimum(z, 60, out=z)
+    return z
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _exps(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, and the sums of its rows."""
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z /= _exps(z)[:, None]
     return z
 
 
 def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-softmax of one entry a row."""
-    z -= z.max(1, keepdims=True)
     out = z[np.arange(len(at)), at].astype(np.float64)
-    np.exp(z, out=z)
-    return out - np.log(z.sum(1))
-
-
-def train(counts: np.ndarray, width: int = WIDTH, steps: int = STEPS, seed: int = 3) -> np.ndarray:
-    """Log-probabilities [left, right, token] of a network trained on a small table of counts, with one neighbour a side."""
-    v = counts.shape[0]
-    net = Network(v, 2, width, seed)
-    net.start(counts.sum((0, 1)))
-    seen = np.argwhere(counts > 0)
-    for _ in range(steps if len(seen) else 0):
-        net.step(seen[:, :2], seen[:, 2], counts[tuple(seen.T)].astype(np.float64))
-    every = np.indices(counts.shape).reshape(3, -1).T
-    return net.logs(every[:, :2], every[:, 2]).reshape(counts.shape).astype(np.float32)
+    return out - np.log(_exps(z))
 
 
 def fit(texts: DataFrame, words: Vocabulary, unigram: np.ndarray) -> Network:
     """Goes through all positions once; tasks start a round from the same parameters, and these are averaged by positions."""
     spark = ship(texts.sparkSession)
-    net = Network(words.size)
+    net = Network(words.size, tail=words.tail)
     net.start(unigram)
 
     for k in range(ROUNDS):
@@ -249,29 +341,20 @@ def fit(texts: DataFrame, words: Vocabulary, unigram: np.ndarray) -> Network:
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, net = shared.value
-            own = Network(net.v)
+            own = Network(net.v, tail=net.tail)
             own.load(net.flat())
-            rng, held, size, total = np.random.default_rng(11), [], 0, 0
-
-            def flush() -> None:
-                sides, token = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = rng.permutation(len(token))
-                for a in range(0, len(order), BATCH):
-                    at = order[a : a + BATCH]
-                    own.step(sides[at], token[at])
-
+            held, size, total = [], 0, 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    ids = words.ids(hashes(text))
-                    if len(ids):
-                        held.append((contexts(ids), ids))
-                        size += len(ids)
-                        total += len(ids)
-                    if size >= 8 * BATCH:
-                        flush()
-                        held, size = [], 0
-            if held:
-                flush()
+                for ids in words.split([hashes(t) for t in batch.column(0).to_pylist()]) if batch.num_rows else []:
+                    total += len(ids)
+                    for a in range(0, len(ids), BATCH):  # a very long text is learnt in parts
+                        held.append(ids[a : a + BATCH])
+                        size += len(held[-1])
+                        if size >= BATCH:
+                            own.step(stream(held))
+                            held, size = [], 0
+            if size:
+                own.step(stream(held))
             flat = own.flat() if total else np.empty(0, np.float32)
             for a in range(0, len(flat), PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array([a // PIECE], pa.int32()), pa.array([total], pa.int64()), pa.array([flat[a : a + PIECE].tobytes()], pa.binary())], ["piece", "n", "x"])
@@ -292,6 +375,7 @@ def fit(texts: DataFrame, words: Vocabulary, unigram: np.ndarray) -> Network:
         for r in got.toLocalIterator():
             x = np.frombuffer(bytes(r["x"]), np.float32)
             flat[r["piece"] * PIECE : r["piece"] * PIECE + len(x)] = x
+        shared.unpersist()
         net.load(flat)
     return net
 
@@ -314,28 +398,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         unigram[r["token"]] = r["n"]
     shared = spark.sparkContext.broadcast((words, fit(texts, words, unigram), np.log(np.maximum(unigram, 1))))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net, logs = shared.value
-        hs = [hashes(t) for t in batch.column(1).to_pylist()]
-        sizes, out, found, times = [len(h) for h in hs], [], [], []
-        every = [words.ids(h) for h in hs]
-        first = 0
-        while first < len(hs):  # texts together, so that a group of tokens meets many positions
-            last, size = first, 0
-            while last < len(hs) and (last == first or size + sizes[last] <= 4 * BATCH):
-                size, last = size + sizes[last], last + 1
-            ids = np.concatenate(every[first:last])
-            got = net.logs(np.concatenate([contexts(x) for x in every[first:last]]), ids) - np.where(words.rare(ids), logs[ids], 0.0)
-            out += [float(x.sum()) for x in np.split(got, np.cumsum(sizes[first:last])[:-1])]
-            first = last
-        for h, ids in zip(hs, every, strict=True):
-            w, n = np.unique(h[words.rare(ids)], return_counts=True)
-            found.append(w)
-            times.append(n)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.float64()), pa.array(found, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "log_likelihood", "words", "times"])
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+        for batch in batches:
+            known = [hashes(t) for t in batch.column(1).to_pylist()]
+            sizes, out, found, times = list(map(len, known)), [], [], []
+            every = words.split(known) if known else []
+            first = 0
+            while first < len(known):  # texts together, so that a group of tokens meets many positions
+                last, size = first, 0
+                while last < len(known) and (last == first or size + sizes[last] <= 2 * BATCH):
+                    size, last = size + sizes[last], last + 1
+                ids = np.concatenate(every[first:last])
+                got = net.logs(stream(every[first:last])) - np.where(words.rare(ids), logs[ids], 0.0)
+                out += [float(x.sum()) for x in np.split(got, np.cumsum(sizes[first:last])[:-1])]
+                first = last
+            for h, ids in zip(known, every, strict=True):
+                w, n = np.unique(h[words.rare(ids)], return_counts=True)
+                found.append(w)
+                times.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.float64()), lists(found), lists(times)], ["doc_id", "n_tokens", "log_likelihood", "words", "times"])
 
     # A rare word adds the logarithm of its count, from the counts of all documents.
-    rows = materialize(map_batches(texts, run, "doc_id long, n_tokens long, log_likelihood double, words array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
+    rows = materialize(texts.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, words array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rare = each.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n").cast("double"))).alias("rare"))
     scored = rows.select("row", "doc_id", "n_tokens", "log_likelihood").join(rare, "row", "left")
