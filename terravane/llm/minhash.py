@@ -41,7 +41,7 @@ THRESHOLD = 80
 ESTIMATE = 0.6
 #: Classes of a block, and the shingles that the classes of a block hold together, about; and of the leaders that pass one task.
 BLOCK, WEIGHT = 256, 1 << 21
-LEAD = 4096
+LEAD = 1024
 CHUNK = 64
 #: Rows (32 bytes each) that are sent to all tasks rather than shuffling the texts, at most.
 BROADCAST = 500_000
