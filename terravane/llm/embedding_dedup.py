@@ -45,7 +45,7 @@ RECALL, PLANTED = 0.999, 8
 MARGIN = 1.15
 #: Vectors of a cell, about.
 CELL = 64
-RESIDENTS, VISITORS = 512, 2048
+RESIDENTS, VISITORS = 512, 1024
 
 
 def units(raw: list[bytes], dim: int) -> np.ndarray:
