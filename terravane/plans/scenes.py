@@ -169,7 +169,7 @@ _PHOTO_EDGES = "pe(x1, y1, x2, y2) AS (VALUES " + ", ".join(f"({a!r}::DOUBLE, {b
 def photo_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cloud split by a polygon on a photo and on the photo that shares most points with it."""
     views = materialize(R.views(spark, sf_dir))
-    primary = views.orderBy("image_id").first()["name"]
+    primary = views.agg(F.min("image_id")).first()[0]
     chosen = RG.neighbour_views(primary, views, covisibility(R.tracks(spark, sf_dir)), 1)
     split = RG.photo_split(R.cloud(spark, sf_dir), chosen, PHOTO_POLYGON, primary)
     return split.groupBy("interior", "rim").agg(F.count("*").alias("n"), F.sum(F.col("point_id") % 1000003).alias("ids"))
