@@ -11,8 +11,8 @@ rules reject at most `risk` of the good texts of every stratum. Of the certified
 rejects most bad texts, each good one rejected counting as `cost` bad ones.
 
 A stratum whose holdout could not certify anything even without a rejection is joined with its smaller
-neighbour before any text is tested: strata depend on numbers of labels alone. Fitting and tests use at most SAMPLE
-labelled rows, taken by a hash of their id.
+neighbour before any text is tested: strata depend on numbers of labels alone. Fitting and tests use every labelled
+row; the driver gets the largest bins of each stratum and a number of texts for each step.
 
 Defined results: null text counts as empty; an empty text has zero counts and fails the base; a table
 without enough labels certifies nothing, so that the base alone decides; repeated rows are judged alike; labels that
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from terravane.llm.common import id_text, map_batches, table
+from terravane.session import discard, materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -46,8 +47,6 @@ SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS + EXTRA)
 GRID = 64
 STRATA = (200, 1000)
 RISK, DELTA, COST = 0.02, 0.05, 20.0
-#: Labelled rows that cutoffs are fitted and tested on, at most (about).
-SAMPLE = 200_000
 
 
 def _rules() -> dict[str, tuple[Column, float]]:
@@ -175,6 +174,19 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return hi
 
 
+def _steps(over: np.ndarray, test: np.ndarray, good: np.ndarray, bad: np.ndarray, n: int, risk: float, level: float, cost: float) -> tuple[int, tuple[int, int, float]] | None:
+    """The step used, and what the holdout showed, or None. test, good, bad: numbers of texts with each value of `over`; n: good texts of the holdout. A text is rejected at step t if its `over` exceeds t."""
+    best, pick, shown = 0.0, None, (n, 0, 1.0)
+    for t in range(int(over.max()) - 1, -GRID - 1, -1):
+        k = int(test[over > t].sum())
+        if k > risk * n or binomial_cdf(k, n, risk) > level:
+            break
+        gain = float(bad[over > t].sum()) - cost * float(good[over > t].sum())
+        if gain > best:
+            best, pick, shown = gain, t, (n, k, upper_bound(k, n, level))
+    return None if pick is None else (pick, shown)
+
+
 def certify(bins: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float, level: float, cost: float) -> tuple[dict[int, int], tuple[int, int, float]] | None:
     """({rule number: bin above which it rejects}, what the holdout showed) for one stratum, or None. bins: texts x rules."""
     test = good & holdout
@@ -186,42 +198,54 @@ def certify(bins: np.ndarray, good: np.ndarray, holdout: np.ndarray, risk: float
     use = np.flatnonzero((bins[~good & ~holdout] > start).any(0))
     if not len(use):
         return None
-    over = (bins[:, use] - start[use]).max(1)  # a text is rejected at step t if this exceeds t
-    best, pick, shown = 0.0, None, (n, 0, 1.0)
-    for t in range(int(over.max()) - 1, -GRID - 1, -1):
-        k = int((over[test] > t).sum())
-        if k > risk * n or binomial_cdf(k, n, risk) > level:
-            break
-        gain = float((over[~good] > t).sum()) - cost * float((over[good] > t).sum())
-        if gain > best:
-            best, pick, shown = gain, t, (n, k, upper_bound(k, n, level))
-    return None if pick is None else ({int(j): int(start[j]) + pick for j in use}, shown)
+    got = _steps((bins[:, use] - start[use]).max(1), test, good, ~good, n, risk, level, cost)
+    return None if got is None else ({int(j): int(start[j]) + got[0] for j in use}, got[1])
 
 
 def _bins() -> list[Column]:
     return [F.greatest(F.lit(0), F.least(F.ceil(f * GRID / top), F.lit(GRID))).cast("int").alias(f"b{j}") for j, (f, top) in enumerate(_rules().values())]
 
 
-def cutoffs(texts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, cost: float = COST, sample: int = SAMPLE) -> Cutoffs:
-    """Certified cutoffs. texts: (doc_id, text). Only bins of the sampled rows (rules + 3 small numbers each) reach the driver."""
+def cutoffs(texts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, cost: float = COST) -> Cutoffs:
+    """Certified cutoffs. texts: (doc_id, text)."""
+    return fitted(measure(texts), labels, risk, delta, cost)
+
+
+def fitted(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, cost: float = COST) -> Cutoffs:
+    """Certified cutoffs of measured texts, by certify() in aggregates over all labelled rows: only small numbers are joined with the labels."""
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    n = marks.count()
-    if not n:
+    if marks.isEmpty():
         return Cutoffs()
-    few = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)))
-    own = texts.join(F.broadcast(few), "doc_id")  # bounded by `sample`
-    names = [f"b{j}" for j in range(len(_rules()))]
-    rows = measure(own, carry=("quality",)).where(~base_failed()).select(stratum().cast("int").alias("stratum"), "quality", (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0).alias("holdout"), *_bins()).toArrow()
-    s, good, holdout = (rows.column(c).to_numpy() for c in ("stratum", "quality", "holdout"))
-    good, holdout = good == 1, holdout.astype(bool)
-    bins = np.stack([rows.column(c).to_numpy() for c in names], 1).astype(np.int64) if len(s) else np.empty((0, len(names)), np.int64)
-    groups = merged_strata([int((good & holdout & (s == i)).sum()) for i in range(len(STRATA) + 1)], risk, delta)
-    found, shown = [], []
-    for g in groups:
-        at = np.isin(s, g)
-        got = certify(bins[at], good[at], holdout[at], risk, delta / len(groups), cost)
-        tops = [top for _, top in _rules().values()]
-        found.append((0 if g[0] == 0 else STRATA[g[0] - 1], {list(_rules())[j]: c * tops[j] / GRID for j, c in got[0].items()} if got else {}))
+    m = len(_rules())
+    half = (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0).alias("holdout")
+    few = counts.where(~base_failed()).select("doc_id", stratum().cast("int").alias("stratum"), half, *_bins())
+    rows = materialize(few.join(marks, "doc_id").select("stratum", (F.col("quality") == 1).alias("good"), "holdout", *(f"b{j}" for j in range(m))))
+    top = lambda which: [F.max(F.when(which & ~F.col("holdout"), F.col(f"b{j}"))) for j in range(m)]
+    seen = {r[0]: r for r in rows.groupBy("stratum").agg(F.sum((F.col("good") & F.col("holdout")).cast("long")), *top(F.col("good")), *top(~F.col("good"))).collect()}
+    n_of = [int(seen[i][1]) if i in seen else 0 for i in range(len(STRATA) + 1)]
+    groups = merged_strata(n_of, risk, delta)
+    level = delta / len(groups)
+    starts: dict[int, dict[int, int]] = {}
+    for k, g in enumerate(groups):
+        high = lambda j, g=g: max((seen[i][j] for i in g if i in seen and seen[i][j] is not None), default=None)
+        start = [high(2 + j) or 0 for j in range(m)]
+        use = {j: start[j] for j in range(m) if (x := high(2 + m + j)) is not None and x > start[j]}
+        if sum(n_of[i] for i in g) >= needed(risk, level) and use:
+            starts[k] = use
+    group, over = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, use in starts.items():
+        inside = F.col("stratum").isin(*groups[k])
+        group = F.when(inside, F.lit(k)).otherwise(group)
+        over = F.when(inside, F.array_max(F.array(*(F.col(f"b{j}") - c for j, c in use.items())))).otherwise(over)
+    cells = rows.select(group.alias("k"), over.alias("over"), "good", "holdout").where("k IS NOT NULL").groupBy("k", "over", "good", "holdout").agg(F.count("*").alias("n")).collect() if starts else []
+    discard(rows)
+    found, shown, names, tops = [], [], list(_rules()), [x for _, x in _rules().values()]
+    for k, g in enumerate(groups):
+        own = [r for r in cells if r["k"] == k]
+        good, n = np.array([r["good"] for r in own], bool), np.array([r["n"] for r in own], np.int64)
+        test = good & np.array([r["holdout"] for r in own], bool)
+        got = _steps(np.array([r["over"] for r in own], np.int64), n * test, n * good, n * ~good, sum(n_of[i] for i in g), risk, level, cost) if own else None
+        found.append((0 if g[0] == 0 else STRATA[g[0] - 1], {names[j]: (c + got[0]) * tops[j] / GRID for j, c in starts[k].items()} if got else {}))
         shown.append(got[1] if got else (0, 0, 1.0))
     return Cutoffs(tuple(found), tuple(shown))
 
@@ -240,8 +264,8 @@ def _verdict(df: DataFrame, found: Cutoffs) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the names of the rules that a text broke."""
-    texts = id_text(docs, id_col, text_col)
-    return _verdict(measure(texts), cutoffs(texts, labels)).select("doc_id", *COUNTS, "base_failed", "kept", "broken")
+    counts = materialize(measure(id_text(docs, id_col, text_col)))  # numbers alone, read twice
+    return _verdict(counts, fitted(counts, labels)).select("doc_id", *COUNTS, "base_failed", "kept", "broken")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

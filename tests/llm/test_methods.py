@@ -9,9 +9,11 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -164,6 +166,25 @@ def test_rules_are_certified_on_few_labels(spark):
     assert not any(own for _, own in none.strata)
 
 
+def test_cutoffs_use_every_label(spark):
+    """More labelled texts than any bound of old; the aggregates give what certify() gives on the rows themselves."""
+    rng = np.random.default_rng(21)
+    n = 260_000
+    words, symbols, digits, good = rng.integers(50, 2000, n), rng.integers(0, 40, n), rng.integers(0, 300, n), rng.random(n) < 0.8
+    symbols[~good] += rng.integers(0, 4000, (~good).sum())
+    zeros = dict.fromkeys(quality_rules.COUNTS + quality_rules.EXTRA, 0)
+    cols = {"doc_id": np.arange(n), **{k: np.full(n, v) for k, v in zeros.items()}, "n_words": words, "word_chars": words * 5, "n_symbols": symbols, "n_digits": digits, "n_distinct": words // 2}
+    counts, labels = spark.createDataFrame(pd.DataFrame(cols)), spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "quality": good.astype(int)}))
+    found = quality_rules.fitted(counts, labels)
+    rows = counts.select("doc_id", quality_rules.stratum().alias("s"), (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0).alias("h"), *quality_rules._bins()).toPandas().sort_values("doc_id")
+    bins, s, h = rows[[f"b{j}" for j in range(len(quality_rules._rules()))]].to_numpy(), rows["s"].to_numpy(), rows["h"].to_numpy()
+    tops, names = [x for _, x in quality_rules._rules().values()], list(quality_rules._rules())
+    for k in range(3):
+        cuts, shown = quality_rules.certify(bins[s == k], good[s == k], h[s == k], quality_rules.RISK, quality_rules.DELTA / 3, quality_rules.COST)
+        assert found.shown[k] == shown and found.strata[k][1] == {names[j]: c * tops[j] / quality_rules.GRID for j, c in cuts.items()}
+    assert sum(x[0] for x in found.shown) == int((good & h).sum()) > 100_000
+
+
 # ---- toxicity and quality ---------------------------------------------------------------------------
 
 
