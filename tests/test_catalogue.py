@@ -13,6 +13,12 @@ def test_query_equals_sql(spark, name):
     same([r.asDict() for r in registry.QUERIES[name](spark, SF).collect()], registry.SQL[name], SF)
 
 
+@pytest.mark.parametrize("name", ["baseline_pairs"])
+def test_no_point_is_paired_with_every_view(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_measured_bowl(spark):
     """The query over all positions against the bowl's volume, depth * pi * R^2 * (1/2 - 2/pi^2)."""
     truth = 6 * np.pi * 18**2 * (0.5 - 2 / np.pi**2)
