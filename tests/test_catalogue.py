@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, name):
     same([r.asDict() for r in registry.QUERIES[name](spark, SF).collect()], registry.SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", ["baseline_pairs"])
+@pytest.mark.parametrize("name", ["baseline_pairs", "greedy_pairs"])
 def test_no_point_is_paired_with_every_view(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
