@@ -14,7 +14,7 @@ from terravane.operators import photos as PH
 from terravane.operators import region as RG
 from terravane.operators import scale as SC
 from terravane.operators import surface as SF
-from terravane.operators.graph import covisibility
+from terravane.operators.graph import covisibility, tracks_of
 from terravane.plans import relations as R
 from terravane.plans.catalogue import CLOUD, COVIS, GRID, MARKS, OVER, PLANE, TRACKS, VIEWS, _region, _split, query, rounded
 from terravane.session import materialize
@@ -170,9 +170,9 @@ def photo_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cloud split by a polygon on a photo and on the photo that shares most points with it."""
     views = materialize(R.views(spark, sf_dir))
     primary = views.agg(F.min("image_id")).first()[0]
-    chosen = RG.neighbour_views(primary, views, covisibility(R.tracks(spark, sf_dir)), 1)
-    split = RG.photo_split(R.cloud(spark, sf_dir), chosen, PHOTO_POLYGON, primary)
-    return split.groupBy("interior", "rim").agg(F.count("*").alias("n"), F.sum(F.col("point_id") % 1000003).alias("ids"))
+    shared = covisibility(tracks_of(R.tracks(spark, sf_dir), primary))
+    marks = RG.photo_marks(R.cloud(spark, sf_dir), RG.neighbour_views(primary, views, shared, 1), PHOTO_POLYGON, primary)
+    return marks.groupBy("interior", "rim").agg(F.count("*").alias("n"), F.sum(F.col("point_id") % 1000003).alias("ids"))
 
 
 _DISPARITY = "base AS (SELECT l_suppkey % 10 AS pair_id, CAST(l_orderkey % 100 AS INTEGER) AS row, CAST(l_partkey % 64 AS INTEGER) AS col, avg(l_quantity) / 10 AS d FROM lineitem GROUP BY ALL)"
